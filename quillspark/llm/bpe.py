@@ -99,17 +99,11 @@ def _merger(path: str):
     return tiktoken.Encoding("file", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-class Encoder:
-    """Ids of texts by one vocabulary file.  The cache is emptied when it holds ``most`` pieces."""
-
-    def __init__(self, path: str, most: int = 1_200_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class IdCache:
+    """Ids by the hash of what they encode.  Emptied when it holds ``most`` entries."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, most: int = 1_200_000):
         self.most = most
-        self.merge = _merger(path)
         self.clear()
 
     def clear(self) -> None:
@@ -146,26 +140,53 @@ class Encoder:
             self.entry[slot[mine]] = entry[mine]
             h, entry, slot = h[~mine], entry[~mine], slot[~mine] + 1 & mask
 
-    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if self.merge:
-            got = [self.merge(x.encode()) for x in pieces]
-        else:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+    def add(self, hashes: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """New entries, numbered on from ``known``; ``flat`` has their ids one after another."""
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
         upto = self.known + len(hashes)
         if upto > len(self.at):
             more = max(len(self.at), upto)
             self.at, self.size = (np.concatenate([x[: self.known], np.empty(more, np.int64)]) for x in (self.at, self.size))
-        self.at[self.known : upto], self.size[self.known : upto] = at, size
+        self.at[self.known : upto], self.size[self.known : upto] = self.used + np.cumsum(size) - size, size
+        self.used += len(flat)
         self.insert(hashes, np.arange(self.known, upto, dtype=np.int32))
         self.known = upto
 
+    def entries(self, h: np.ndarray, learn) -> np.ndarray:
+        """The entry of each hash; ``learn(places)`` gives (sizes, ids) of those first seen there."""
+        if self.known > self.most:
+            self.clear()
+        place = self.find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            unseen, first, at = np.unique(h[new], return_index=True, return_inverse=True)
+            place[new] = self.known + at
+            self.add(unseen, *learn(new[first]))
+        return place
+
+
+class Encoder:
+    """Ids of texts by one vocabulary file."""
+
+    def __init__(self, path: str, most: int = 1_200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.merge = _merger(path)
+        self.cache = IdCache(most)
+
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.merge:
+            got = [self.merge(x.encode()) for x in pieces]
+        else:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return size, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's ids."""
         joined = "\n".join(texts)
@@ -182,17 +203,9 @@ class Encoder:
         p, inv = powers(_R, len(cp) + 1)
         total = np.concatenate((np.zeros(1, U64), np.cumsum((cp.astype(U64) + U64(0x1F351)) * p[: len(cp)])))
         h = mix((total[stop] - total[start]) * inv[start] + (stop - start).astype(U64))
-        if self.known > self.most:
-            self.clear()
-        place = self.find(h)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            unseen, first, at = np.unique(h[new], return_index=True, return_inverse=True)
-            first = new[first]
-            place[new] = self.known + at
-            self.learn(unseen, [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())])
-        size = self.size[place]
-        ids = self.ids[varied_ranges(self.at[place], size)]
+        place = self.cache.entries(h, lambda at: self.merged([joined[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]))
+        size = self.cache.size[place]
+        ids = self.cache.ids[varied_ranges(self.cache.at[place], size)]
         upto = np.concatenate(([0], np.cumsum(size)))
         by_text = upto[np.searchsorted(start, ends)]
         return ids, np.diff(np.concatenate(([0], by_text)))
