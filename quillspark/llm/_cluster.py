@@ -7,17 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table written to the checkpoint folder that all executors share; its lineage ends there.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the one of ``spark.checkpoint.dir``.
 
-    The folder is the one of ``spark.checkpoint.dir``.  Only where the session names none (local
-    tests) is a temporary one set.
+    Only where the session names none (local tests) is a temporary one set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder; its lineage ends there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -102,7 +102,7 @@ def _merger(path: str):
 class IdCache:
     """Ids by the hash of what they encode.  Emptied when it holds ``most`` entries."""
 
-    def __init__(self, most: int = 1_200_000):
+    def __init__(self, most: int = 1_300_000):
         self.most = most
         self.clear()
 
@@ -170,7 +170,7 @@ class IdCache:
 class Encoder:
     """Ids of texts by one vocabulary file."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

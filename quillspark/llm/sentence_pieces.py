@@ -40,7 +40,7 @@ def _prefix_hashes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Pieces:
     """The pieces of a model file, as sorted keys with scores and ids."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_300_000):
         from sentencepiece import SentencePieceProcessor
 
         with open(path, "rb") as f:
@@ -171,7 +171,7 @@ def _encode(path: str):
         model = pieces(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in blocks(texts, 1 << 18, 5000):
+            for i, j in blocks(texts, 1 << 20, 5000):
                 ids, n = model.encode(texts[i:j])
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
@@ -217,7 +217,7 @@ def _round_trip(path: str):
         byte[model.byte] = True
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in blocks(texts, 1 << 18, 5000):
+            for i, j in blocks(texts, 1 << 20, 5000):
                 ids, n = model.encode(texts[i:j])
                 at = np.concatenate(([0], np.cumsum(n))).tolist()
                 wide, odd = ids.astype("<u4"), np.concatenate(([0], np.cumsum(byte[ids])))

@@ -83,10 +83,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000) -> Factori
     return fit(collect_terms(labelled_sample(docs, labels, F.col("toxic"), most_rows), word_terms, BITS))
 
 
-def score_toxicity(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (doc_id) of ``docs`` and score, 0 to 1.
+def score_toxicity(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The ``keep`` columns (doc_id) of ``docs`` and a score called ``name``, 0 to 1.
 
     The text alone decides.  Null and empty texts have no terms, so their score is the bias's.
     Rows are scored one by one: repeats, ties and null ids stay.
     """
-    return scored(docs, word_terms, BITS, model, ["score"], keep or ["doc_id"])
+    return scored(docs, word_terms, BITS, model, [name], keep or ["doc_id"])
