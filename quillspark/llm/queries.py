@@ -129,7 +129,7 @@ SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule, CASE WHEN hit IS NU
 
 _OP10 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, {_WORDS.format(text="t")} AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, t, {_WORDS.format(text="t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 1, 1))) t(i)),
 again AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
 places AS (SELECT DISTINCT g.doc_id, g.i + k AS pos FROM g JOIN again a ON a.doc_id = g.doc_id AND a.g = g.g, unnest(range(0, 3)) u(k)),
