@@ -31,32 +31,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _is_stars(links: DataFrame) -> bool:
+    """Has each node one root at most, and has no root a root itself?"""
+    sides = links.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(links.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return sides.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out = 1 AND into = 1").isEmpty()
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node that has a link; root is the smallest node it reaches.
+    """(node, root) for each node that has a smaller one in its component; root is the smallest.
 
     ``links`` has columns a, b (long).  Self links and repeated links are harmless; nulls are
-    dropped; an empty table gives an empty result.  Each round is a large-star and a small-star
-    step whose minima are checkpointed, so a hub's rows can be split by the skew join.
+    dropped; an empty table gives an empty result.  Links first become forests of stars batch by
+    batch.  Each round is then a large-star and a small-star step whose minima are checkpointed,
+    so a hub's rows can be split by the skew join.
     """
-    links = links.select("a", "b").where("a <> b")
-    links = cut(links.mapInArrow(_forest, "a long, b long").distinct())
-    state = _state(links)
-    if not state[0]:
-        return links.selectExpr("a AS node", "b AS root")
+    links = cut(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct())
     for _ in range(most_rounds):
+        if _is_stars(links):
+            return links.selectExpr("a AS node", "b AS root")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         pairs = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p"))
         links = cut(pairs.select("p.a", "p.b").where("a <> b").distinct())
-        now = _state(links)
-        if now == state:
-            return links.selectExpr("a AS node", "b AS root")
-        state = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

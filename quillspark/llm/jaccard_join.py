@@ -12,8 +12,9 @@ How it is run
 2. The other tokens go back to ranges of digests, where each set learns its prefix.  A set whose
    prefix has unshared tokens only can have no partner and ends there.
 3. Candidates come from shared prefix tokens.  A posting list is not expanded into pairs: its
-   members are first paired with two leaders, verified links are contracted into components, and
-   only members of *different* components of a list are then paired with each other.  So a group
+   members are paired with two leaders, verified links are contracted into components, members of
+   lists with several components are paired with two further leaders of each list, and only
+   members of components that still differ are then paired with each other.  So a group
    of copies costs a number of pairs in proportion to its size, and no link between components is
    lost.
 """
@@ -178,7 +179,7 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.to_pydict()
-            out_a, out_b, cache = [], [], {}
+            out_a, out_b = [], []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(c[k][i], "<u8") for k in ("tokens", "tokens_b"))
                 n, m = c["n"][i], c["n_b"][i]
@@ -188,7 +189,6 @@ def _verify(percent: int):
                 if 100 * both >= percent * (n + m - both):
                     out_a.append(c["a"][i])
                     out_b.append(c["b"][i])
-            del cache
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return run
@@ -207,15 +207,28 @@ def candidates(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "t
     return frequent.groupBy("part").applyInArrow(_prefixes(percent), _CANDIDATE)
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("digest", "n", "comp", F.explode("prefix").alias("token"))
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """token, digest, n, alone of the posting lists of two or more sets; of equal lists only one.
 
+    Lists are equal if their size and two 64-bit digests of their members agree.  A passage that
+    many texts share gives as many equal lists as it has tokens, and all of them give the same
+    pairs.
+    """
+    own = sets.withColumn("alone", F.expr(f"(n - ceil({percent} * n / 100) + 1 - take) / n"))  # share of tokens that no other set has
+    posts = own.select("digest", "n", "alone", F.explode("prefix").alias("token"))
+    members = (F.count("*").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y"))
+    lists = posts.groupBy("token").agg(*members).where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
+    return cut(posts.join(cut(lists), "token", "left_semi"))
+
+
+def _by_leaders(posts: DataFrame, percent: int, varied: bool = False) -> DataFrame:
+    """Each member of a posting list with two leaders of the list in other components.
 
-def _by_leaders(sets: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Each member of a posting list with the list's two leaders, where components differ."""
-    posts = _postings(sets)
-    rank = F.struct(F.xxhash64(F.lit(seed), "digest").alias("r"), "digest", "n", "comp")
-    lists = cut(posts.groupBy("token").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "lo", "hi"))
+    The first leader has the smallest share of tokens of its own, as an original has among its
+    copies; with ``varied`` leaders differ from list to list.
+    """
+    rank = F.struct((F.xxhash64("token", "digest") if varied else F.col("alone")).alias("r"), "digest", "n", "comp")
+    lists = cut(posts.groupBy("token").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")))
     pairs = posts.join(lists, "token").select("digest", "n", "comp", F.explode(F.array("lo", "hi")).alias("q"))
     return _sized(pairs.where("comp <> q.comp").select("digest", "n", F.col("q.digest").alias("digest_b"), F.col("q.n").alias("n_b")), percent)
 
@@ -225,13 +238,18 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select(F.least("digest", "digest_b").alias("a"), F.greatest("digest", "digest_b").alias("b")).distinct()
 
 
-def _across(sets: DataFrame, percent: int) -> DataFrame:
+def _mixed(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """Posting lists that still have members of two components, with each member's component."""
+    roots = connected_components(links).withColumnRenamed("node", "digest")
+    named = cut(posts.drop("comp").join(roots, "digest", "left").select("token", "digest", "n", "alone", F.coalesce("root", "digest").alias("comp")))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    return cut(named.join(cut(mixed), "token", "left_semi"))
+
+
+def _across(posts: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of a posting list whose components differ."""
-    posts = _postings(sets)
-    mixed = posts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    left = cut(posts.join(cut(mixed), "token", "left_semi"))
-    right = left.select("token", F.col("digest").alias("digest_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    return _sized(left.join(right, "token").where("comp < comp_b"), percent)
+    right = posts.select("token", F.col("digest").alias("digest_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    return _sized(posts.join(right, "token").where("comp < comp_b"), percent)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,28 +258,21 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(percent), "a long, b long"))
 
 
-def _labelled(found: DataFrame, links: DataFrame) -> DataFrame:
-    roots = connected_components(links)
-    return cut(found.join(roots, found.digest == roots.node, "left").select("digest", "n", "take", "prefix", "tokens", F.coalesce("root", "digest").alias("comp")))
-
+def set_links(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+    """Verified links a, b between set digests.
 
-def set_components(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text", star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(links, components): verified links a, b between set digests, and node, root of each set with one.
-
-    The links connect everything that similarity connects, though inside a component not every
-    similar pair is among them.
+    They connect everything that similarity connects, though inside a component not every similar
+    pair is among them.
     """
-    found = cut(candidates(docs, size, percent, text))
-    sets, links, done = found.withColumn("comp", F.col("digest")), None, None
-    for r in range(star_rounds + 1):
-        pairs = _by_leaders(sets, r, percent) if r < star_rounds else _across(sets, percent)
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        got = _checked(pairs, found, percent)
-        links = got if links is None else links.unionByName(got)
-        done = pairs if done is None else done.unionByName(pairs)
-        if r < star_rounds:
-            sets = _labelled(found, links)
-    return links, connected_components(links)
+    sets = cut(candidates(docs, size, percent, text))
+    posts = _postings(sets, percent).withColumn("comp", F.col("digest"))
+    done = cut(_by_leaders(posts, percent))
+    links = _checked(done, sets, percent)
+    posts = _mixed(posts, links)
+    more = cut(_by_leaders(posts, percent, varied=True).join(done, ["a", "b"], "left_anti"))
+    links, done = links.unionByName(_checked(more, sets, percent)), done.unionByName(more)
+    rest = _across(_mixed(posts, links), percent).join(done, ["a", "b"], "left_anti")
+    return links.unionByName(_checked(rest, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -269,16 +280,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, text: str
 
     component_id is the smallest doc_id that links reach.  Null and empty texts, and texts of
     white space, have n_shingles 0 and their own doc_id as component_id.  Rows that repeat a
-    doc_id are kept, each by its own text; rows with a null doc_id link others but never name a
-    component, and keep a null component_id if nothing else is in it.  Other columns are ignored.
-    Sets are compared by hashes of 46 bits or more within a pair and named by 64-bit digests.
+    doc_id are kept, each with the component of its own text.  Rows with a null
+    doc_id link nothing and have a null component_id.  Other columns are ignored.
+    Sets are compared by hashes of 45 bits or more within a pair and named by 64-bit digests.
     """
+    known = docs.where(F.col(key).isNotNull())
     info = cut(set_table(docs, size, text, key))
-    _, roots = set_components(docs, size, percent, text)
-    classes = info.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, classes.digest == roots.node, "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
-    classes = cut(classes)
-    lowest = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(classes.join(lowest, "root").select("digest", "component_id"))
+    classes = cut(info.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least")))
+    a, b = (classes.select(F.col("digest").alias(x), F.col("least").alias(f"id_{x}")) for x in "ab")
+    links = set_links(known, size, percent, text).join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    roots = connected_components(links)
+    named = cut(classes.join(roots, classes.least == roots.node, "left").select("digest", F.coalesce("root", "least").alias("component_id")))
     out = info.join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
