@@ -12,9 +12,9 @@ How it is run
 2. The other tokens go back to ranges of digests, where each set learns its prefix.  A set whose
    prefix has unshared tokens only can have no partner and ends there.
 3. Candidates come from shared prefix tokens.  A posting list is not expanded into pairs: its
-   members are paired with two leaders, verified links are contracted into components, members of
-   lists with several components are paired with two further leaders of each list, and only
-   members of components that still differ are then paired with each other.  So a group
+   members are paired with two leaders, verified links are contracted into components, and only
+   members of *different* components of a list are then paired with each other, if enough of
+   either set comes after the shared token for it to be the first that similar sets share.  So a group
    of copies costs a number of pairs in proportion to its size, and no link between components is
    lost.
 """
@@ -208,29 +208,31 @@ def candidates(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "t
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """token, digest, n, alone of the posting lists of two or more sets; of equal lists only one.
+    """token, digest, n, alone, pos of the posting lists of two or more sets; of equal lists only the
+    first in the global order.  pos is the token's place in the set.
 
     Lists are equal if their size and two 64-bit digests of their members agree.  A passage that
     many texts share gives as many equal lists as it has tokens, and all of them give the same
     pairs.
     """
-    own = sets.withColumn("alone", F.expr(f"(n - ceil({percent} * n / 100) + 1 - take) / n"))  # share of tokens that no other set has
-    posts = own.select("digest", "n", "alone", F.explode("prefix").alias("token"))
-    members = (F.count("*").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y"))
-    lists = posts.groupBy("token").agg(*members).where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
+    first = F.expr(f"n - ceil({percent} * n / 100) + 1 - take")  # tokens that no other set has: they come first
+    posts = sets.select("digest", "n", (first / F.col("n")).alias("alone"), first.alias("first"), F.posexplode("prefix").alias("i", "token"))
+    posts = posts.select("digest", "n", "alone", (F.col("first") + F.col("i")).alias("pos"), "token")
+    members = (F.count("*").alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y"), F.min(F.struct("digest", "pos")).alias("one"))
+    lists = posts.groupBy("token").agg(*members).where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("one.pos", "token")).alias("least")).select("least.token")
     return cut(posts.join(cut(lists), "token", "left_semi"))
 
 
-def _by_leaders(posts: DataFrame, percent: int, varied: bool = False) -> DataFrame:
-    """Each member of a posting list with two leaders of the list in other components.
+def _by_leaders(posts: DataFrame, percent: int) -> DataFrame:
+    """Each member of a posting list with two leaders of the list.
 
-    The first leader has the smallest share of tokens of its own, as an original has among its
-    copies; with ``varied`` leaders differ from list to list.
+    One has the smallest share of tokens of its own, as an original has among its copies; the
+    other differs from list to list.
     """
-    rank = F.struct((F.xxhash64("token", "digest") if varied else F.col("alone")).alias("r"), "digest", "n", "comp")
-    lists = cut(posts.groupBy("token").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")))
-    pairs = posts.join(lists, "token").select("digest", "n", "comp", F.explode(F.array("lo", "hi")).alias("q"))
-    return _sized(pairs.where("comp <> q.comp").select("digest", "n", F.col("q.digest").alias("digest_b"), F.col("q.n").alias("n_b")), percent)
+    one, other = (F.struct(r.alias("r"), "digest", "n") for r in (F.col("alone"), F.xxhash64("token", "digest")))
+    lists = cut(posts.groupBy("token").agg(F.min(one).alias("one"), F.min(other).alias("other")))
+    led = posts.join(lists, "token").select("digest", "n", F.explode(F.array(*(F.struct(f"{c}.digest", f"{c}.n") for c in ("one", "other")))).alias("q"))
+    return _sized(led.where("digest <> q.digest").select("digest", "n", F.col("q.digest").alias("digest_b"), F.col("q.n").alias("n_b")), percent)
 
 
 def _sized(pairs: DataFrame, percent: int) -> DataFrame:
@@ -241,15 +243,20 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
 def _mixed(posts: DataFrame, links: DataFrame) -> DataFrame:
     """Posting lists that still have members of two components, with each member's component."""
     roots = connected_components(links).withColumnRenamed("node", "digest")
-    named = cut(posts.drop("comp").join(roots, "digest", "left").select("token", "digest", "n", "alone", F.coalesce("root", "digest").alias("comp")))
+    named = cut(posts.join(roots, "digest", "left").select("token", "digest", "n", "alone", "pos", F.coalesce("root", "digest").alias("comp")))
     mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     return cut(named.join(cut(mixed), "token", "left_semi"))
 
 
 def _across(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a posting list whose components differ."""
-    right = posts.select("token", F.col("digest").alias("digest_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    return _sized(posts.join(right, "token").where("comp < comp_b"), percent)
+    """Pairs of members of a posting list whose components differ, where enough tokens are left.
+
+    At the first token that two similar sets share, each has at least
+    percent / (100 + percent) * (n + n_b) tokens from there on.
+    """
+    right = posts.select("token", F.col("digest").alias("digest_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
+    left = f"{100 + percent} * least(n - pos, n_b - pos_b) >= {percent} * (n + n_b)"
+    return _sized(posts.join(right, "token").where(f"comp < comp_b AND {left}"), percent)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,12 +272,9 @@ def set_links(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "te
     pair is among them.
     """
     sets = cut(candidates(docs, size, percent, text))
-    posts = _postings(sets, percent).withColumn("comp", F.col("digest"))
+    posts = _postings(sets, percent)
     done = cut(_by_leaders(posts, percent))
     links = _checked(done, sets, percent)
-    posts = _mixed(posts, links)
-    more = cut(_by_leaders(posts, percent, varied=True).join(done, ["a", "b"], "left_anti"))
-    links, done = links.unionByName(_checked(more, sets, percent)), done.unionByName(more)
     rest = _across(_mixed(posts, links), percent).join(done, ["a", "b"], "left_anti")
     return links.unionByName(_checked(rest, sets, percent))
 
