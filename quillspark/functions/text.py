@@ -65,5 +65,7 @@ def tokens(c: Column, stop_words: Sequence[str] = DEFAULT) -> Column:
 
 def shingles(c: Column, k: int) -> Column:
     """The distinct substrings of ``k`` characters."""
-    n = F.length(c) - k + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    # characters as an array, bound once by the outer transform: a substring would count from the text's start
+    grams = lambda ch: F.transform(F.sequence(F.lit(1), F.size(ch) - k + 1), lambda i: F.array_join(F.slice(ch, i, k), ""))
+    cut = F.get(F.transform(F.array(F.split(c, "")), grams), F.lit(0))
+    return F.when(F.length(c) >= k, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
