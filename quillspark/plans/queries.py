@@ -163,7 +163,7 @@ def recall_pivot(spark, sf_dir):
 
 
 def pareto_frontier(spark, sf_dir):
-    return evaluate.pareto(lsh_grid(spark, sf_dir), "avg_candidates", "avg_recall")
+    return evaluate.pareto(lsh_grid(spark, sf_dir), "avg_candidates", "avg_recall", ["num_bits", "b"])
 
 
 def lsh_s_curve(spark, sf_dir):

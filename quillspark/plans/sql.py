@@ -143,7 +143,7 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
         "lsh_grid": f"{w}{_GRID} SELECT * FROM summary",
         "recall_pivot": f"{w}{_GRID} SELECT num_bits, {', '.join(f'round(avg(recall) FILTER (WHERE b = {b}), 6) AS b{b}' for b in (4, 8, 16, 32))} FROM grid GROUP BY num_bits",
         "pareto_frontier": f"""{w}{_GRID} SELECT num_bits, b, r, avg_recall, avg_candidates, pct_dataset FROM (
-  SELECT *, max(avg_recall) OVER (ORDER BY avg_candidates, avg_recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM summary) WHERE avg_recall > coalesce(before, -1)""",
+  SELECT *, max(avg_recall) OVER (ORDER BY avg_candidates, avg_recall DESC, num_bits, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM summary) WHERE avg_recall > coalesce(before, -1)""",
         "lsh_s_curve": "SELECT round(i / 499, 6) AS s, round(1 - pow(1 - pow(i / 499, 4), 16), 6) AS p_linear, round(1 - pow(1 - pow(1 - acos(i / 499) / pi(), 4), 16), 6) AS p_angle FROM range(500) t(i)",
         "candidate_histogram": f"""{w}{_GRID}, e AS (SELECT min(n_candidates) AS lo, max(n_candidates) AS hi FROM grid)
 SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((n_candidates - lo) * 30 / (hi - lo)) + 1, 30) END::BIGINT AS bin, count(*) AS n FROM grid, e GROUP BY 1""",
