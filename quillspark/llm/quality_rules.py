@@ -113,6 +113,15 @@ def first_rejection(rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
+def _here() -> Column:
+    """Always true, but not deterministic, so that a filter on the column is not moved below it.
+
+    Moved, the filter would have each count's expression written out at each use, and the counts
+    of the windows use each other so often that planning does not end.
+    """
+    return F.monotonically_increasing_id() >= 0
+
+
 def cascade(docs: DataFrame, text: str = "text", prefix: str = "", rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
     """``docs`` with the base counts, base_failed and kept (with ``prefix`` before each name).
 
@@ -124,4 +133,4 @@ def cascade(docs: DataFrame, text: str = "text", prefix: str = "", rules: list[R
     sample = with_base_counts(docs.limit(sample_rows), text, prefix)
     rules = [r for r, _, _ in ordered(sample, rules)]
     out = with_base_counts(docs, text, prefix)
-    return out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": first_rejection(rules).isNull()})
+    return out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": first_rejection(rules).isNull() & _here()})
