@@ -189,11 +189,11 @@ def remove_repeats(docs: DataFrame, size: int = 50, carry: list[str] | None = No
     doc_id.  ``kept`` is the other words with one space between.  Null and empty texts give 0
     words and an empty ``kept``.  Texts shorter than ``size`` words lose nothing.  Rows that
     repeat a doc_id take nothing from each other.  A null doc_id neither gives nor loses.
-    Columns that aren't carried are ignored; carried ones must not be named n_words, n_removed or
-    kept.  Memory: a hash range or a batch of texts for each task.
+    Columns that aren't carried are ignored; carried ones must not be named n_words, n_removed,
+    kept, k or places (put others into a struct).  Memory: a hash range or a batch of texts for each task.
     """
     block, bits = size // 2, range_bits(docs)
-    own = ["doc_id", "text", *(carry or [])]
+    own = ["doc_id", "text", *(c for c in carry or [] if c not in ("doc_id", "text"))]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own[1:], F.xxhash64(F.col("doc_id").cast("long"), "text").alias("k"))
     places = "k long, places array<int>"
     packed = "part int, wide boolean, packed binary"
