@@ -32,7 +32,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id.
 
-    Documents without words are no group, so they stay; so do those with a null doc_id.
+    Documents without words are no group, so they stay; so do those with a null doc_id.  Equal rows
+    with one doc_id stay together; of a repeated doc_id with other texts all rows go if one goes.
     """
     groups = jaccard_join.near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
@@ -43,14 +44,17 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without the passages that a document with a smaller doc_id has too.
 
     A text that loses nothing stays as it is; of others the kept words are joined by spaces.
+    Other columns travel in one struct, so their names cannot clash; a column n_chars follows the text.
     """
-    names = [c for c in docs.columns if c != "doc_id"]
-    out = substring_dedup.remove_repeats(docs, carry=names)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(None).cast("int").alias("_"), *others).alias("others"))
+    out = substring_dedup.remove_repeats(rows, carry=["text", "others"])
+    changed = F.col("n_removed") > 0
+    new = {c: F.col("others")[c] for c in others}
+    new |= {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(new["n_chars"])
+    return out.select(*(new[c].alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
