@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard_join, packing, quality_rules, substring_dedup, toxicity
-from quillspark.llm._cluster import checkpoint_dir
+from quillspark.llm._cluster import bound_batches, checkpoint_dir
 
 #: Documents with this toxicity score or more go.
 MOST_TOXIC = 0.7
@@ -25,6 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score by a model of their labelled part is below ``MOST_TOXIC``."""
+    bound_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, model, docs.columns, "__score").where(F.col("__score") < MOST_TOXIC).select(*docs.columns)
 
@@ -35,6 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are no group, so they stay; so do those with a null doc_id.  Equal rows
     with one doc_id stay together; of a repeated doc_id with other texts all rows go if one goes.
     """
+    bound_batches(spark)
     groups = jaccard_join.near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -46,6 +48,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses nothing stays as it is; of others the kept words are joined by spaces.
     Other columns travel in one struct, so their names cannot clash; a column n_chars follows the text.
     """
+    bound_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", F.struct(F.lit(None).cast("int").alias("_"), *others).alias("others"))
     out = substring_dedup.remove_repeats(rows, carry=["text", "others"])
@@ -58,6 +61,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

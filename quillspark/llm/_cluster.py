@@ -43,5 +43,17 @@ def range_bits(df: DataFrame, bytes_each: int = 8 << 20, least: int = 5, most: i
     return min(most, max(least, (max(1, input_bytes(df)) // bytes_each).bit_length()))
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to ``most_bytes``.
+
+    Batches of 10,000 long texts are tens of MB, held in the JVM's buffers, in Arrow and as Python
+    bytes at once for each running task.  Smaller batches change no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if now <= 0 or now > most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
