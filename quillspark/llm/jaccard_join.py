@@ -17,6 +17,8 @@ How it is run
    either set comes after the shared token for it to be the first that similar sets share.  So a group
    of copies costs a number of pairs in proportion to its size, and no link between components is
    lost.
+4. Where links are counted, all pairs inside each component are compared, by pairs of blocks of
+   at most ``BLOCK`` sets; similar sets are always in one component.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ from quillspark.llm.components import connected_components
 U64 = np.uint64
 _OWNER, _SEEDS = ["<u8", "<i4"], (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
+#: Sets in a block of a component, and columns of a block's matrix at a time.
+BLOCK, COLUMNS = 128, 4096
+
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text of each token, token hash; sorted, distinct in a text), set size and digest by text."""
@@ -265,18 +270,95 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(percent), "a long, b long"))
 
 
-def set_links(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
-    """Verified links a, b between set digests.
-
-    They connect everything that similarity connects, though inside a component not every similar
-    pair is among them.
-    """
+def _connected(docs: DataFrame, size: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """The candidate sets, and verified links a, b between their digests that connect all that similarity connects."""
     sets = cut(candidates(docs, size, percent, text))
     posts = _postings(sets, percent)
     done = cut(_by_leaders(posts, percent))
     links = _checked(done, sets, percent)
     rest = _across(_mixed(posts, links), percent).join(done, ["a", "b"], "left_anti")
-    return links.unionByName(_checked(rest, sets, percent))
+    return sets, links.unionByName(_checked(rest, sets, percent))
+
+
+def set_links(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+    """Verified links a, b between set digests.
+
+    They connect everything that similarity connects, though inside a component not every similar
+    pair is among them; ``link_counts`` counts all of them.
+    """
+    return _connected(docs, size, percent, text)[1]
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of tokens that each set of ``a`` shares with each of ``b``."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    known = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.int64)
+    sides = []
+    for parts, flat in ((a, x), (b, y)):
+        at = np.searchsorted(known, flat)
+        ok = at < len(known)
+        ok[ok] = known[at[ok]] == flat[ok]
+        row, col = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[ok], at[ok]
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order]))
+    for c in range(0, len(known), COLUMNS):
+        dense = []
+        for (row, col), n in zip(sides, (len(a), len(b))):
+            i, j = np.searchsorted(col, (c, c + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(known) - c)), np.float32)
+            m[row[i:j], col[i:j] - c] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)  # sums of at most COLUMNS ones are exact
+    return out
+
+
+def _count_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of the sets of one pair of blocks, or of several small components."""
+        c = table.select(["digest", "n", "weight", "comp", "block", "i", "j"]).to_pydict()
+        digest, n, weight, comp, block = (np.array(c[k], np.int64) for k in ("digest", "n", "weight", "comp", "block"))
+        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
+        links = np.zeros(len(n), np.int64)
+        order = np.argsort(comp, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            i, j = c["i"][mine[0]], c["j"][mine[0]]
+            left, right = mine[block[mine] == i], mine[block[mine] == j]
+            if not len(left) or not len(right):
+                continue
+            both = _common([tokens[k] for k in left], [tokens[k] for k in right])
+            similar = 100 * both >= percent * (n[left][:, None] + n[right] - both)
+            if i == j:
+                np.fill_diagonal(similar, False)
+            links[left] += similar @ weight[right]
+            if i != j:
+                links[right] += weight[left] @ similar
+        return pa.table({"digest": pa.array(digest), "links": pa.array(links)})
+
+    return run
+
+
+def _linked(sets: DataFrame, links: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """digest, links: how many rows of ``weights`` (digest, weight) have another similar set.
+
+    Components of up to ``BLOCK`` sets share tasks; of a larger one each pair of blocks is a group.
+    """
+    roots = connected_components(links)
+    nodes = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("digest"), F.col("root").alias("comp")))
+    sized = nodes.join(nodes.groupBy("comp").agg(F.count("*").alias("members")), "comp")
+    # blocks by hash, so that no task orders a whole component
+    blocks = F.ceil(F.col("members") * 2 / F.lit(BLOCK))
+    many = F.when(F.col("members") > BLOCK, blocks).otherwise(F.lit(1)).cast("int")
+    placed = sized.select("digest", "comp", many.alias("many"), F.pmod(F.xxhash64(F.lit(2), "digest"), many).cast("int").alias("block"))
+    held = placed.join(weights, "digest").join(sets.select("digest", "n", "tokens"), "digest")
+    groups = max(1, nodes.count() // BLOCK)
+    own = held.withColumn("other", F.explode(F.expr("sequence(0, many - 1)")))
+    own = own.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    own = own.withColumn("place", F.when(F.col("many") > 1, F.xxhash64("comp", "i", "j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(groups))))
+    rows = own.select("place", "digest", "n", "weight", "comp", "block", "i", "j", "tokens")
+    # the tag keeps a small component's place apart from a pair of blocks
+    counted = rows.withColumn("tag", F.struct("i", "j")).groupBy("place", "tag").applyInArrow(_count_links(percent), "digest long, links long")
+    return cut(counted.groupBy("digest").agg(F.sum("links").alias("links")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -288,13 +370,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, text: str
     doc_id link nothing and have a null component_id.  Other columns are ignored.
     Sets are compared by hashes of 45 bits or more within a pair and named by 64-bit digests.
     """
+    return _classes(docs, size, percent, text, key, False)
+
+
+def link_counts(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The columns of ``near_duplicates`` and n_links: how many other rows have a similar or equal set.
+
+    Rows with a null doc_id or without words have no links and count for none.
+    """
+    return _classes(docs, size, percent, text, key, True)
+
+
+def _classes(docs: DataFrame, size: int, percent: int, text: str, key: str, counted: bool) -> DataFrame:
     known = docs.where(F.col(key).isNotNull())
     info = cut(set_table(docs, size, text, key))
-    classes = cut(info.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least")))
+    classes = cut(info.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight")))
     a, b = (classes.select(F.col("digest").alias(x), F.col("least").alias(f"id_{x}")) for x in "ab")
-    links = set_links(known, size, percent, text).join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    sets, pairs = _connected(known, size, percent, text)
+    links = pairs.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     roots = connected_components(links)
-    named = cut(classes.join(roots, classes.least == roots.node, "left").select("digest", F.coalesce("root", "least").alias("component_id")))
+    named = cut(classes.join(roots, classes.least == roots.node, "left").select("digest", "weight", F.coalesce("root", "least").alias("component_id")))
+    if counted:
+        named = cut(named.join(_linked(sets, pairs, classes.select("digest", "weight"), percent), "digest", "left"))
     out = info.join(named, "digest", "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    more = [F.when(own, F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")] if counted else []
+    return out.select("doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)

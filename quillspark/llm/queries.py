@@ -33,6 +33,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_jaccard_join, whose SQL fixes its columns, with each document's number of links."""
+    return jaccard_join.link_counts(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of the labels: 0 low quality, 1 good but toxic, 2 good.  Kept: grade 1 or more is likelier."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op2_jaccard_join, op3_quality_grade, op4_license_scan, op5_substring_dedup]
+    own = [op1_best_fit_packing, op2_jaccard_join, op2_jaccard_links, op3_quality_grade, op4_license_scan, op5_substring_dedup]
     own += [op6_sentence_pieces, op7_ogg_media, op8_toxicity, op9_url_filter, op10_quality_rules, pipeline]
     return {f.__name__: f for f in own}
 
