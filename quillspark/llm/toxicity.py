@@ -2,7 +2,8 @@
 
 score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j).  The pairwise part is computed as
 half of (sum v x)^2 - sum (v x)^2 by factor, so it costs as much as the linear part.  It learns
-that terms matter together which each alone do not.
+that a term matters in company which alone does not, if one of the two shows a difference alone;
+two terms that both show none alone get no weights (see ``fit``).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class FactorizationMachine:
     def logits(self, row: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Logits, and the sum of each row's factors."""
         sums = np.stack([np.bincount(row, self.v[at, f], n) for f in range(self.v.shape[1])], 1)
-        squares = np.bincount(row, (self.v[at] ** 2).sum(1), n)
+        squares = np.bincount(row, (self.v**2).sum(1)[at], n)
         return self.bias[0] + np.bincount(row, self.w[at], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
     def __call__(self, doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
@@ -42,13 +43,45 @@ class FactorizationMachine:
         return [sigmoid(self.logits(row, at, n)[0])]
 
 
-def fit(sample: dict[str, np.ndarray], factors: int = 8, epochs: int = 120, rate: float = 0.03, decay: float = 2e-3, least_rows: int = 4, least_z: float = 3.0, seed: int = 7) -> FactorizationMachine:
-    """Fits on presence terms.  Buckets that differ between the labels by ``least_z`` standard
-    errors and occur in ``least_rows`` rows are chosen; the others have no weight."""
+def _partners(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, total: np.ndarray, anchors: np.ndarray, least_rows: int, least_z: float) -> np.ndarray:
+    """Buckets with which the label rate of some anchor's rows differs by ``least_z`` standard errors."""
+    frequent = np.flatnonzero(total >= least_rows)
+    if not len(frequent):
+        return frequent
+    local = np.full(1 << BITS, -1, np.int32)
+    local[frequent] = np.arange(len(frequent))
+    ok = local[bucket] >= 0
+    row, col = row[ok].astype(np.int32), local[bucket[ok]]
+    first = np.searchsorted(row, np.arange(len(y) + 1))
+    rows_by_col = row[np.argsort(col, kind="stable")]
+    at = np.concatenate(([0], np.cumsum(np.bincount(col, minlength=len(frequent)))))
+    found = np.zeros(len(frequent), bool)
+    for a in local[anchors]:
+        mine = rows_by_col[at[a] : at[a + 1]]
+        p = (y[mine].sum() + 0.5) / (len(mine) + 1)
+        n, toxic = np.zeros(len(frequent)), np.zeros(len(frequent))
+        for i in range(0, len(mine), 500):  # memory follows 500 rows
+            part = mine[i : i + 500]
+            k = first[part + 1] - first[part]
+            terms = col[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[part], k)]
+            n += np.bincount(terms, minlength=len(frequent))
+            toxic += np.bincount(terms, np.repeat(y[part], k), len(frequent))
+        found |= (n >= least_rows) & (np.abs(toxic - n * p) >= least_z * np.sqrt(n * p * (1 - p) + 1e-9))
+    return frequent[found]
+
+
+def fit(sample: dict[str, np.ndarray], factors: int = 8, epochs: int = 120, rate: float = 0.03, decay: float = 2e-4, least_rows: int = 4, least_z: float = 3.0, pair_z: float = 8.0, seed: int = 7) -> FactorizationMachine:
+    """Fits on presence terms.  Buckets are chosen that differ between the labels by ``least_z``
+    standard errors and occur in ``least_rows`` rows, and those that change the label rate of
+    such a bucket's rows by ``pair_z`` and meet it in ``least_rows``; the others have no weight.
+
+    ``pair_z`` is large as many pairs are tested.  ``decay`` must leave a rare pair's factors room to
+    grow: at 2e-3 they shrink as fast as 12 of 6,000 rows pull."""
     y = (sample["label"] > 0).astype(float)
     n = len(y)
     pair = np.unique(sample["row"].astype(np.int64) << BITS | sample["bucket"])
     row, bucket = pair >> BITS, pair & (1 << BITS) - 1
+    del pair
     slot = np.full(1 << BITS, -1, np.int32)
     prior = (y.sum() + 0.5) / (n + 1)
     if 0 < y.sum() < n:
@@ -56,6 +89,7 @@ def fit(sample: dict[str, np.ndarray], factors: int = 8, epochs: int = 120, rate
         toxic = np.bincount(bucket, y[row], 1 << BITS)
         z = (toxic - total * prior) / np.sqrt(np.maximum(total, 1) * prior * (1 - prior) + 1e-9)
         chosen = np.flatnonzero((total >= least_rows) & (np.abs(z) >= least_z))
+        chosen = np.union1d(chosen, _partners(row, bucket, y, total, chosen, least_rows, pair_z))
         slot[chosen] = np.arange(len(chosen))
     at = slot[bucket]
     row, at = row[at >= 0], at[at >= 0]
