@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine, normalised
-from quillspark.operators.vector import matrix, unit
+from quillspark.operators.vector import exact_knn, matrix, unit
 from quillspark.sources.records import ranked
 
 
@@ -66,15 +66,18 @@ def _assign(centroids: np.ndarray, codebooks: np.ndarray | None):
     return run
 
 
-def build_ivf(vectors: DataFrame, nlist: int, *, m: int | None = None, nbits: int = 8, seed: int = 42, most_training: int = 100_000) -> IvfIndex:
-    """An index of vectors (doc_id, vector): ``nlist`` cells and, with ``m``, codes of m bytes.
+def build_ivf(vectors: DataFrame, nlist: int | None = None, *, m: int | None = None, nbits: int = 8, seed: int = 42, most_training: int = 100_000) -> IvfIndex:
+    """An index of vectors (doc_id, vector): ``nlist`` cells (by default the root of
+    their number) and, with ``m``, codes of m bytes.
 
     Trained on ``most_training`` vectors chosen by a hash of their id, or all if there are fewer.
     Zero vectors are left out, as they have no direction.
     """
     held = vectors.where("vector IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
     held = held.where(F.exists("vector", lambda x: x != 0))
-    share = min(1.0, most_training / max(held.count(), 1))
+    n = held.count()
+    nlist = nlist or max(1, round(n**0.5))
+    share = min(1.0, most_training / max(n, 1))
     sample = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(normalised(F.col("vector")).alias("vector")).cache()
     centroids = _kmeans(sample, nlist, seed, True)
     books = None
@@ -115,10 +118,39 @@ def _coded(codebooks: np.ndarray):
     return run
 
 
-def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 10, skip_self: bool = False, coded: bool = False) -> DataFrame:
+def choose_nprobe(index: IvfIndex, queries: DataFrame, k: int = 10, recall: float = 0.95, skip_self: bool = False, most_queries: int = 256) -> int:
+    """The least nprobe whose cells hold the share ``recall`` of exact neighbours, on at most about
+    ``most_queries`` queries."""
+    asked = _some(queries, most_queries)
+    truth = exact_knn(index.cells, asked, k, skip_self).select("query_id", "doc_id")
+    got = truth.join(index.cells.select("doc_id", "cell"), "doc_id").join(asked.select("query_id", "vector"), "query_id").select("cell", F.col("vector").cast("array<double>").alias("vector")).toArrow()
+    if not got.num_rows:
+        return len(index.centroids)
+    order = np.argsort(-(unit(matrix(got.column("vector").combine_chunks())) @ unit(index.centroids).T), axis=1, kind="stable")
+    place = np.sort((order == got.column("cell").to_numpy()[:, None]).argmax(1))
+    return int(place[int(np.ceil(recall * len(place))) - 1]) + 1
+
+
+def choose_shortlist(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 10, recall: float = 0.92, skip_self: bool = False, most_queries: int = 256) -> int:
+    """The least shortlist of coded scores that holds the share ``recall`` of exact neighbours."""
+    asked = _some(queries, most_queries)
+    truth = exact_knn(index.cells, asked, k, skip_self).select("query_id", "doc_id")
+    coded = ivf_search(index, asked, 1 << 30, nprobe, skip_self, coded=True).select("query_id", "doc_id", "rank")
+    ranks = sorted(r[0] for r in truth.join(coded, ["query_id", "doc_id"]).select("rank").collect())  # k * most_queries at most
+    wanted = int(np.ceil(recall * truth.count()))
+    return max(k, ranks[min(wanted, len(ranks)) - 1]) if ranks else k
+
+
+def _some(queries: DataFrame, most: int) -> DataFrame:
+    share = min(1.0, most / max(queries.count(), 1))
+    return queries.where(F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 10, skip_self: bool = False, coded: bool = False, shortlist: int = 0) -> DataFrame:
     """query_id, rank, doc_id, score from the ``nprobe`` nearest cells of each query.
 
-    Scores are exact cosines, or with ``coded`` the products of query parts and code words.
+    Scores are exact cosines, or with ``coded`` the products of query parts and code words.  With
+    ``shortlist`` so many of the best coded ones of each query are ranked again by exact cosine.
     """
     held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("asked"))
     asked = held.mapInArrow(_probes(index.centroids, min(nprobe, len(index.centroids))), "query_id long, asked array<double>, cell int")
@@ -129,6 +161,10 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 1
         if index.codebooks is None:
             raise ValueError("the index has no codes")
         scores = found.select("query_id", "doc_id", "asked", "code").mapInArrow(_coded(index.codebooks), "query_id long, doc_id long, score double")
+        if shortlist:
+            best = ranked(scores.where("score IS NOT NULL"), max(k, shortlist)).select("query_id", "doc_id")
+            again = best.join(index.cells.select("doc_id", "vector"), "doc_id").join(held, "query_id")
+            scores = again.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
     else:
         scores = found.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
     return ranked(scores.where("score IS NOT NULL"), k)

@@ -179,11 +179,14 @@ def shingle_counts(spark, sf_dir):
 
 
 def ivf_search(spark, sf_dir):
-    return ivf.ivf_search(ivf.build_ivf(_vectors(spark, sf_dir), 22), _vector_queries(spark, sf_dir))
+    index, asked = ivf.build_ivf(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir)
+    return ivf.ivf_search(index, asked, nprobe=ivf.choose_nprobe(index, asked))
 
 
 def ivf_pq_search(spark, sf_dir):
-    return ivf.ivf_search(ivf.build_ivf(_vectors(spark, sf_dir), 22, m=8, nbits=6), _vector_queries(spark, sf_dir), coded=True)
+    index, asked = ivf.build_ivf(_vectors(spark, sf_dir), m=8, nbits=6), _vector_queries(spark, sf_dir)
+    nprobe = ivf.choose_nprobe(index, asked)
+    return ivf.ivf_search(index, asked, nprobe=nprobe, coded=True, shortlist=ivf.choose_shortlist(index, asked, nprobe=nprobe))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
