@@ -2,8 +2,8 @@
 
 The automaton holds all template texts, word by word.  A file's words run through it and give
 matching statistics: the longest suffix read so far that some template contains.  Matches that
-cannot be extended are kept from ``shortest`` words on, and matches of one template that follow
-each other in both texts are chained; a chain's covered share of the template is its score.
+cannot be extended (in their template) are kept from ``shortest`` words on.  The best chain of matches that follow each other
+in file and template is found for each template; its covered share of the template is its score.
 
 Most words of a file are in no template, so numpy first finds the places where two neighbouring
 words are neighbours in some template; only those stretches go through the automaton, word by
@@ -25,30 +25,55 @@ from quillspark.llm._words import Words, blocks, starts_inside, utf8
 
 #: Phrases whose places are counted one by one, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices by label; several texts of a label are templates of their own.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"""
+_AS_IS = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_NAMES = """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"""
+_BSD_END = """this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0} as published by the free software foundation either version {1} of the license or at your option any later version"
+_GNU_END = "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {0} for more details"
+#: Texts of licenses and of their notices by label; several texts of a label are templates of their own.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "this software is licensed under the mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    ),
+    ("mit", _MIT),
+    ("mit", f"{_MIT} {_AS_IS}"),
     ("apache", "licensed under the apache license version 2 0"),
     (
         "apache",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", _GNU.format("general public license", 2)),
+    ("gpl", _GNU.format("general public license", 3)),
+    ("gpl", f"{_GNU.format('general public license', 3)} {_GNU_END.format('general public license')}"),
+    ("lgpl", _GNU.format("lesser general public license", 3)),
+    ("lgpl", _GNU.format("lesser general public license", "2 1").replace("program", "library")),
+    ("agpl", _GNU.format("affero general public license", 3)),
+    ("bsd", _BSD.split(" redistributions in binary")[0]),
+    ("bsd", f"{_BSD} {_BSD_END}"),
+    ("bsd", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
     (
-        "gpl",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ),
+    (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
     ),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
@@ -174,30 +199,62 @@ class Scanner:
         a = self.automaton
         for first, words in stretches:
             got = list(a.statistics(words))
+            now = self.ending(*got[0]) if got else {}
             for i, (v, size) in enumerate(got):
                 for p, least in self.phrases[v]:
                     if size >= least:
                         places.append((p, first + i - self.sizes[p] + 1, first + i))
-                if size >= self.shortest and (i + 1 == len(got) or got[i + 1][1] <= size):
-                    matches += [Match(first + i - size + 1, first + i + 1, t, e - size + 1) for t, e in a.ends[v] if t >= self.n_base]
+                after = self.ending(*got[i + 1]) if i + 1 < len(got) else {}
+                matches += [Match(first + i - n + 1, first + i + 1, t, e - n + 1) for (t, e), n in now.items() if (t, e + 1) not in after]
+                now = after
         return places, matches
 
+    def ending(self, v: int, size: int) -> dict[tuple[int, int], int]:
+        """The template places that what was read last ends at, and how many words match there.
+
+        Places of shorter suffixes are those of the states that the links lead to.
+        """
+        a, out = self.automaton, {}
+        while size >= self.shortest:
+            for place in a.ends[v]:
+                if place[0] >= self.n_base:
+                    out.setdefault(place, size)
+            v = a.link[v]
+            size = a.longest[v]
+        return out
+
     def chains(self, matches: list[Match]) -> dict[int, tuple[float, int, int]]:
-        """For each template its best chain: (share covered, first word, last word)."""
+        """For each template its best chain: (share covered, first word, last word).
+
+        A match follows another if it goes further in both texts and leaves out ``gap`` words of the
+        file at most; where they overlap in either text, the common words count once.  The best
+        chain that ends with each match comes from the best ones that it may follow, so a stray match
+        or a repetition ends no chain.
+        """
         best: dict[int, tuple[float, int, int]] = {}
-        now: dict[int, tuple[Match, set[int], int]] = {}
-        for m in sorted(matches, key=lambda m: (m.start, m.place)):
-            held = now.get(m.template)
-            words = set(range(m.place, m.place + m.stop - m.start))
-            if held and m.place >= held[0].place and m.start - held[0].stop <= self.gap:
-                words |= held[1]
-                start = held[2]
-            else:
-                start = m.start
-            now[m.template] = (m, words, start)
-            share = len(words) / self.sizes[m.template]
-            if share > best.get(m.template, (0.0,))[0]:
-                best[m.template] = (share, start, m.stop - 1)
+        by: dict[int, list[Match]] = {}
+        for m in matches:
+            by.setdefault(m.template, []).append(m)
+        for t, own in by.items():
+            own.sort(key=lambda m: (m.start, m.place))
+            longest = max(m.stop - m.start for m in own)
+            ends: list[tuple[int, int]] = []  # words covered and first word of the best chain that ends with each match
+            low = 0
+            for i, m in enumerate(own):
+                size = m.stop - m.start
+                held = (size, m.start)
+                while own[low].start + longest + self.gap < m.start:
+                    low += 1
+                for k in range(low, i):
+                    p = own[k]
+                    n = p.stop - p.start
+                    both = max(0, p.stop - m.start, p.place + n - m.place)
+                    if p.start < m.start and p.place < m.place and both < size and m.start - p.stop <= self.gap:
+                        held = max(held, (ends[k][0] + size - both, ends[k][1]), key=lambda x: (x[0], -x[1]))
+                ends.append(held)
+                share = held[0] / self.sizes[t]
+                if share > best.get(t, (0.0,))[0]:
+                    best[t] = (share, held[1], m.stop - 1)
         return best
 
 
@@ -244,7 +301,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     ``first_word`` and ``last_word`` are the smallest and largest start); labels, which adds the
     labels of templates covered by 0.6 or more; score, the largest share covered (1 with a base
     phrase); spans of the template chains.  Null and empty texts have no words and score 0.
-    Repeated rows stay; other columns are ignored.  The automaton is built once in each worker
+    Repeated rows stay; an empty table gives an empty result; other columns are ignored.  The automaton is built once in each worker
     and its size is that of the templates.
     """
     t = tuple(map(tuple, templates if templates is not None else TEMPLATES))
