@@ -2,6 +2,8 @@
 
 Writing makes one physical stream of two logical ones: ``pcm8`` holds the payload as 8-bit samples,
 one packet for each frame of ``FRAME`` samples, and ``note`` holds the number of unpadded bytes.
+Pages of ``pcm8`` are filled up to ``SEGMENTS`` lacing values, so packets go on over pages, and the
+pages of ``note`` lie between them.
 Reading verifies every page's checksum and sequence number, joins packets over lacing values and
 pages, parts the logical streams by serial number, and turns granule positions into seconds.
 """
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FRAME, RATE = 576, 48_000
+FRAME, RATE, SEGMENTS = 576, 48_000, 64
 CONTINUED, FIRST, LAST = 1, 2, 4
 _HEAD = struct.Struct("<4sBBqIIIB")
 #: Each byte with its bits reversed.
@@ -59,15 +61,21 @@ def write(payload: bytes, n_bytes: int, frame: int = FRAME, rate: int = RATE) ->
     pages = [
         page(FIRST, 0, serial, 0, packet_lacing(len(opening)), opening),
         page(FIRST, 0, other, 0, packet_lacing(4), b"note"),
-        page(LAST, len(payload), other, 1, packet_lacing(len(note)), note),
     ]
-    lacing = packet_lacing(frame)
-    each = 255 // len(lacing)
-    frames = len(payload) // frame
-    for number, start in enumerate(range(0, frames, each), 1):
-        stop = min(frames, start + each)
-        kind = LAST if stop == frames else 0
-        pages.append(page(kind, stop * frame, serial, number, lacing * (stop - start), payload[start * frame : stop * frame]))
+    each = packet_lacing(frame)
+    lacing = each * (len(payload) // frame)
+    begin = done = 0
+    numbers = range(0, len(lacing), SEGMENTS)
+    for number, at in enumerate(numbers, 1):
+        own = lacing[at : at + SEGMENTS]
+        stop = begin + sum(own)
+        complete = (at + len(own)) // len(each)
+        kind = (CONTINUED if at % len(each) else 0) | (LAST if at == numbers[-1] else 0)
+        # a page on which no packet ends has no time
+        pages.append(page(kind, complete * frame if complete > done else -1, serial, number, own, payload[begin:stop]))
+        if number == (len(numbers) + 1) // 2:
+            pages.append(page(LAST, len(payload), other, 1, packet_lacing(len(note)), note))
+        begin, done = stop, complete
     return b"".join(pages)
 
 
@@ -148,13 +156,16 @@ def payload_of(streams: dict[int, Stream]) -> tuple[bytes, int, int]:
     """Payload, unpadded bytes and sample rate of what ``write`` made."""
     sound = note = None
     for s in streams.values():
-        if s.packets[0].startswith(b"pcm8"):
+        head = s.packets[0] if s.packets else b""
+        if head.startswith(b"pcm8") and len(head) == 10:
             sound = s
-        elif s.packets[0] == b"note":
+        elif head == b"note" and len(s.packets) == 2 and len(s.packets[1]) == 8:
             note = s
-    if sound is None or note is None:
+    if sound is None or note is None or len(sound.packets) < 2:
         raise OggError("a logical stream is missing")
-    rate, _ = struct.unpack_from("<IH", sound.packets[0], 4)
+    rate, frame = struct.unpack_from("<IH", sound.packets[0], 4)
+    if not rate or any(len(p) != frame for p in sound.packets[1:]):
+        raise OggError("a packet is no frame of samples")
     return b"".join(sound.packets[1:]), struct.unpack("<Q", note.packets[1])[0], rate
 
 
@@ -174,31 +185,43 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(payload: bytes, streams: dict[int, Stream], rate: int) -> str:
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
-    frames = x.reshape(-1, FRAME)
-    loudest = int(frames.sum(1).argmax())
-    times = max((s.seconds(rate)[-1] for s in streams.values()), default=0.0)
+    whole = x[: len(x) // FRAME * FRAME]
+    loudest = int(whole.reshape(-1, FRAME).sum(1).argmax()) if len(whole) else 0
+    times = max((t for s in streams.values() for t in s.seconds(rate)), default=0.0)
     steps = int(np.abs(np.diff(x)).sum())
     return f"streams={len(streams)};pages={sum(s.pages for s in streams.values())};packets={sum(len(s.packets) for s in streams.values())};ms={round(times * 1000)};sum={int(x.sum())};energy={int((x * x).sum())};steps={steps};peak={int(x.max())};loudest={loudest}"
 
 
+_READ = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
+
+
+def _fields(media: bytes | None) -> tuple:
+    """What a row of ``read_media`` says of a stream."""
+    if media is None:
+        return (None,) * 8
+    size = len(media), hashlib.sha256(media).hexdigest()
+    try:
+        streams = read(media)
+        payload, n, rate = payload_of(streams)
+        feature = _features(payload, streams, rate)
+    except OggError as e:
+        return None, None, None, None, *size, None, str(e)
+    return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *size, feature, None
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        rows = []
-        for doc, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            streams = read(media)
-            payload, n, rate = payload_of(streams)
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), _features(payload, streams, rate)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        cols = list(zip(*rows)) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        rows = [(doc, *_fields(media)) for doc, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        cols = list(zip(*rows)) if rows else [[]] * len(_READ)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _READ.values())], names=list(_READ))
 
 
 def text_to_media(docs: DataFrame) -> DataFrame:
     """doc_id, media: each text of ``docs`` (doc_id, text) as an Ogg stream.
 
     Null texts count as empty; an empty text is one frame of padding.  Equal texts have equal
-    media.  Rows are handled one by one: repeats stay, null ids stay, other columns are ignored.
+    media.  Rows are handled one by one: repeats stay, null ids stay, an empty table gives an empty
+    result, other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_write, "doc_id long, media binary")
 
@@ -206,7 +229,9 @@ def text_to_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """What the streams of ``media`` (doc_id, media) hold: sizes, digests and features.
 
-    A stream that is not whole fails the query with OggError.
+    A stream that is not whole has its sizes, nulls and what is wrong with it in ``error``; null media
+    have nulls in all.  Rows are read one by one: repeats and null ids stay; an empty table gives
+    an empty result; other columns are ignored.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "media").mapInArrow(_read, schema)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(_read, schema)
