@@ -4,11 +4,14 @@ A text's spaces become U+2581 with one more in front; it falls into units, each
 and what follows up to the next.  No piece reaches over a unit's start, so units are segmented on
 their own, and each distinct one once by a worker.  Unseen units of equal length advance together:
 at every end place the hashes of all substrings that end there are probed in the sorted piece
-keys, and the vectorised maximum over them is stored with its backpointer.
-
-The segmentation has the largest sum of the pieces' stored scores; between equal sums the longest
-last piece wins.  A character that is no piece is written as its UTF-8 bytes' pieces.  A file that
-was trained by merges has merge ranks as scores; its own merge loop then segments otherwise.
+keys, and the vectorised maximum over them is stored with its backpointer.  In a unit of more than
+``LONG`` characters all places are probed at once, a stretch at a time, before the maxima are taken.
+
+The segmentation has the largest sum of the pieces' stored scores, added in 32-bit floats; between
+equal sums the longest last piece wins.  A character that is no piece is written as its UTF-8 bytes'
+pieces.  For a unigram model these are the ids of its own library.  A file that was trained by merges
+has merge ranks as scores; its own merge loop segments otherwise, so the ids are **not** that file's
+own encoding, though they decode to the same text.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ _R = 0xC2B2AE3D27D4EB4F
 SPACE = 0x2581
 #: What an unknown character's score lies below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
+#: Units of more characters are segmented alone.
+LONG, _STRETCH = 400, 20_000
 
 
 def _prefix_hashes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +64,8 @@ class Pieces:
         keys = (total[stop] - total[start]) * inv[start]
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.uint32)[order]
-        self.scores = np.array([model.get_score(i) for i in plain], np.float64)[order]
-        self.unknown = self.scores.min() - UNKNOWN_PENALTY
+        self.scores = np.array([model.get_score(i) for i in plain], np.float32)[order]
+        self.unknown = self.scores.min() - np.float32(UNKNOWN_PENALTY)
         self.longest = int((stop - start).max())
         place = {i: k for k, i in enumerate(byte)}
         raw = [bytes([place[i]]) if i in place else text[i].replace("▁", " ").encode() for i in range(n)]
@@ -72,7 +77,7 @@ class Pieces:
     def _best(self, start: np.ndarray, n: int, total: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, first place, key index or -1) of the best pieces of units of ``n`` characters."""
         m = len(start)
-        best = np.full((m, n + 1), -np.inf)
+        best = np.full((m, n + 1), -np.inf, np.float32)
         best[:, 0] = 0
         back, piece = np.zeros((m, n + 1), np.int16), np.full((m, n + 1), -1, np.int32)
         rows = np.arange(m)
@@ -82,7 +87,7 @@ class Pieces:
             h = (total[start + j][:, None] - total[a]) * inv[a]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
-            score = np.where(hit, self.scores[at], -np.inf)
+            score = np.where(hit, self.scores[at], np.float32(-np.inf))
             score[:, -1] = np.where(hit[:, -1], score[:, -1], self.unknown)
             score += best[:, j - size]
             k = score.argmax(1)
@@ -100,11 +105,47 @@ class Pieces:
             left, end = left[go], end[go]
         return np.concatenate(units), np.concatenate(places), np.concatenate(pieces)
 
+    def _best_long(self, start: int, n: int, total: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, key index or -1) of the best pieces of one unit of ``n`` characters."""
+        best, back, piece = [np.float32(0)] + [None] * n, [0] * (n + 1), [-1] * (n + 1)
+        sizes = np.arange(self.longest, 0, -1)
+        for low in range(1, n + 1, _STRETCH):
+            j = np.arange(low, min(n + 1, low + _STRETCH))
+            a = np.maximum(j[:, None] - sizes, 0) + start
+            h = (total[start + j][:, None] - total[a]) * inv[a]
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            row, col = np.nonzero((self.keys[at] == h) & (sizes <= j[:, None]))
+            keys = at[row, col]
+            upto = np.searchsorted(row, np.arange(len(j) + 1)).tolist()
+            size, key, score = sizes[col].tolist(), keys.tolist(), self.scores[keys]
+            for r, end in enumerate(j.tolist()):
+                top, far, found = None, 1, -1
+                for x in range(upto[r], upto[r + 1]):  # longest first: it wins between equals
+                    s = best[end - size[x]] + score[x]
+                    if top is None or s > top:
+                        top, far, found = s, size[x], key[x]
+                if found < 0 or size[upto[r + 1] - 1] > 1:  # the character alone is no piece
+                    s = best[end - 1] + self.unknown
+                    if top is None or s > top:
+                        top, far, found = s, 1, -1
+                best[end], back[end], piece[end] = top, far, found
+        places, pieces, end = [], [], n
+        while end:
+            pieces.append(piece[end])
+            end -= back[end]
+            places.append(end)
+        return np.array(places), np.array(pieces)
+
     def segment(self, cp: np.ndarray, total: np.ndarray, inv: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of units cp[start:stop]."""
         length = stop - start
         unit, place, piece = [], [], []
-        for n in np.unique(length):
+        for k in np.flatnonzero(length > LONG):
+            p, found = self._best_long(int(start[k]), int(length[k]), total, inv)
+            unit.append(np.full(len(p), k))
+            place.append(p)
+            piece.append(found)
+        for n in np.unique(length[length <= LONG]):
             mine = np.flatnonzero(length == n)
             for part in np.array_split(mine, max(1, len(mine) * (int(n) + 1) // 200_000)):
                 u, p, k = self._best(start[part], int(n), total, inv)
@@ -186,7 +227,7 @@ def _decode(path: str):
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 ids = part.column(1)
-                n = ids.value_lengths().to_numpy(zero_copy_only=False)
+                n = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.decode("utf-8", "replace") for b in model.decode(flat, n)], pa.string())], names=["doc_id", "text"])
 
@@ -196,14 +237,18 @@ def _decode(path: str):
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids of every text of ``docs`` (doc_id, text).
 
-    Null and empty texts have no ids.  Rows are encoded one by one: repeats and null ids stay;
-    other columns are ignored.  U+2581 in a text is taken for a space.
+    Null and empty texts have no ids.  Rows are encoded one by one: repeats and null ids stay; an
+    empty table gives an empty result; other columns are ignored.  U+2581 in a text is taken for a
+    space.  For models trained by merges the ids are not the file's own encoding (see above).
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(model), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, text of every row of ``encoded`` (doc_id, ids).  Bytes that are no UTF-8 become U+FFFD."""
+    """doc_id, text of every row of ``encoded`` (doc_id, ids).  Bytes that are no UTF-8 become U+FFFD.
+
+    Null and empty lists give an empty text; repeats stay; an empty table gives an empty result.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(_decode(model), "doc_id long, text string")
 
 
@@ -231,6 +276,10 @@ def _round_trip(path: str):
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Digests of each text's ids and of what they decode to, without sending ids to the JVM."""
+    """Digests of each text's ids and of what they decode to, without sending ids to the JVM.
+
+    Nulls, repeats and empty tables as in ``encode_pieces``; the ids of a model trained by merges are
+    those of the largest sum of scores, not the file's own.
+    """
     schema = "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, decoded_sha256 string, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_round_trip(model), schema)
