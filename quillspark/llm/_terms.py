@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm._words import _BYTE, _R_BYTE, Words, blocks, mix, powers, utf8
 
@@ -113,22 +114,30 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label, most_rows: int, most_bytes: int = 64 << 20) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:
     """text, label of about ``most_rows`` labelled rows that aren't held out, chosen by a hash of the id.
 
     ``label`` is a column expression on ``labels``; rows where it is null don't count.  The chosen
-    ids are broadcast: there are ``most_rows`` of them, give or take a few hundredths.
+    ids are broadcast: there are ``most_rows`` of them, give or take a few hundredths.  If their texts
+    (of repeated ids too) are more than ``most_rows`` by a tenth or have more than ``most_bytes``, a
+    random share of them is taken that has about as many.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     share = min(1.0, most_rows / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(most_bytes / max(found.bytes or 0, 1), 1.1 * most_rows / max(found.n, 1))
+    return rows.sample(share, 7) if share < 1 else rows
 
 
 def scored(docs: DataFrame, terms: Terms, bits: int, model: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[np.ndarray]], names: list[str], kept: list[str]) -> DataFrame:
     """The ``kept`` columns of ``docs``, which has text too, and the model's columns of doubles."""
+    clash = {n.lower() for n in names} & {c.lower() for c in kept}
+    if clash:
+        raise ValueError(f"columns of these names can't be kept beside the model's: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +147,9 @@ def scored(docs: DataFrame, terms: Terms, bits: int, model: Callable[[np.ndarray
                 out = model(d, (h >> U64(64 - bits)).astype(np.int64), v, j - i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), *(pa.array(x, pa.float64()) for x in out)], names=[*kept, *names])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
+    rows = docs.select(*(docs[f"`{c.replace('`', '``')}`"] for c in dict.fromkeys([*kept, "text"])))
+    kinds = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return rows.mapInArrow(run, kinds)
 
 
 class Adam:

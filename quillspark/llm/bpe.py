@@ -100,10 +100,10 @@ def _merger(path: str):
 
 
 class IdCache:
-    """Ids by the hash of what they encode.  Emptied when it holds ``most`` entries."""
+    """Ids by the hash of what they encode.  Emptied when it holds ``most`` entries or ``most_ids`` ids."""
 
-    def __init__(self, most: int = 1_300_000):
-        self.most = most
+    def __init__(self, most: int = 1_300_000, most_ids: int = 16_000_000):
+        self.most, self.most_ids = most, most_ids
         self.clear()
 
     def clear(self) -> None:
@@ -156,7 +156,7 @@ class IdCache:
 
     def entries(self, h: np.ndarray, learn) -> np.ndarray:
         """The entry of each hash; ``learn(places)`` gives (sizes, ids) of those first seen there."""
-        if self.known > self.most:
+        if self.known > self.most or self.used > self.most_ids:
             self.clear()
         place = self.find(h)
         new = np.flatnonzero(place < 0)

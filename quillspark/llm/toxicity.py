@@ -121,6 +121,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, keep: list[str]
     """The ``keep`` columns (doc_id) of ``docs`` and a score called ``name``, 0 to 1.
 
     The text alone decides.  Null and empty texts have no terms, so their score is the bias's.
-    Rows are scored one by one: repeats, ties and null ids stay.
+    Rows are scored one by one: repeats, ties and null ids stay; an empty table gives an empty
+    result.  A kept column called ``name`` is an error.
     """
     return scored(docs, word_terms, BITS, model, [name], keep or ["doc_id"])
