@@ -1,20 +1,28 @@
-"""What the operators need of the session: shared checkpoints and counts of hash ranges."""
+"""What the operators need of the session: shared checkpoints, counts of hash ranges, sizes of batches."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Items that a hash range should hold on average at most.
+RANGE_ITEMS = 2_500_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the one of ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary one set.
+    Where the session names none, a local master gets a temporary one, and any other is an error:
+    its executors could not see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -25,34 +33,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size; for files it is their size.  Runs no job."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a plan without statistics
-        size = 0
-    return size if 0 < size < 1 << 58 else 1 << 30
+def range_bits(items: int, least: int = 6, most: int = 30) -> int:
+    """log2 of the number of hash ranges that hold ``RANGE_ITEMS`` each on average.
+
+    The number follows the items; 2**30 ranges stand for more than 10 PB of text.
+    """
+    return min(most, max(least, (max(1, items) // RANGE_ITEMS).bit_length()))
 
 
-def range_bits(df: DataFrame, bytes_each: int = 8 << 20, least: int = 5, most: int = 16) -> int:
-    """log2 of the number of hash ranges so that each stands for ``bytes_each`` of input.
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, by a scan of that column."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
-    A range is handled in one task, so its memory stays near a few times ``bytes_each``.  Beyond
-    2**16 ranges (0.5 TB at the default) raise ``bytes_each``; more memory per task is then needed.
-    """
-    return min(most, max(least, (max(1, input_bytes(df)) // bytes_each).bit_length()))
 
+def batch_limit(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
 
-def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> str | None:
     """Lowers the session's limit on the bytes of an Arrow batch to ``most_bytes``.
 
     Batches of 10,000 long texts are tens of MB, held in the JVM's buffers, in Arrow and as Python
-    bytes at once for each running task.  Smaller batches change no result.
+    bytes at once for each running task.  Smaller batches change no result.  Returns what
+    ``unbound_batches`` needs to put the setting back.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
-    if now <= 0 or now > most_bytes:
-        spark.conf.set(name, str(most_bytes))
+    was = spark.conf.get(_BATCH, None)
+    if batch_limit(spark) <= 0 or batch_limit(spark) > most_bytes:
+        spark.conf.set(_BATCH, str(most_bytes))
+    return was
+
+
+def unbound_batches(spark: SparkSession, was: str | None) -> None:
+    if was is None:
+        spark.conf.unset(_BATCH)
+    else:
+        spark.conf.set(_BATCH, was)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -36,10 +36,10 @@ def test_link_counts(spark):
             n += x != y and i is not None and j is not None and both > 0 and 100 * both >= 75 * len(sets[x] | sets[y])
         want.append((-1 if i is None else i, len(sets[x]), n))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard_join.link_counts(df)
+    got = jaccard_join.link_counts(df, block=128)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.n_links) for r in got.collect()) == sorted(want)
     members = sum(r.component_id == 0 for r in got.collect())
-    assert members > jaccard_join.BLOCK and 0 < min(n for _, _, n in want[:300] if n) < members - 1
+    assert members > 128 and 0 < min(n for _, _, n in want[:300] if n) < members - 1
     key = lambda r: tuple(-1 if v is None else v for v in (r.doc_id, r.n_shingles, r.component_id))
     assert sorted(map(key, got.collect())) == sorted(map(key, jaccard_join.near_duplicates(df).collect()))
     assert jaccard_join.link_counts(df.where("false")).count() == 0
