@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm import _ranges
 from quillspark.llm._cluster import cut
 from quillspark.llm._words import blocks
 
@@ -152,17 +153,27 @@ def _placed(runs: dict[str, np.ndarray], names: list[str]):
             at = np.searchsorted(key, (length << 48) + rank, "right") - 1
             copy, turn = np.divmod(rank - runs["rank"][at], runs["times"][at])
             more = [pa.array(runs["first"][at] + turn), pa.array(runs["offset"][at] + copy * length)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *more], names=[*names, "sequence_id", "offset"])
+            own = [_unpacked(batch) if n == "ids" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*own, *more], names=[*names, "sequence_id", "offset"])
 
     assert wide < 1 << 48
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.Array:
+    """The column ids as lists of numbers; each row has ``length`` of them in 2 or 4 bytes."""
+    n = batch.column("length").to_numpy(zero_copy_only=False)
+    flat = [np.frombuffer(x, f"<u{len(x) // k}").astype(np.int32) for x, k in zip(_ranges.values(batch.column("ids")), n.tolist())]
+    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+
+
 def _pieces(path: str, capacity: int, end: int, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quillspark.llm.bpe import encoder
 
         bpe = encoder(path)
+        width = "<u2" if bpe.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for i, j in blocks(texts, 1 << 18, 2000):
@@ -174,9 +185,9 @@ def _pieces(path: str, capacity: int, end: int, ids: bool):
                     head = (n + 1) % capacity
                     for piece, start in enumerate([*([0] if head else []), *range(head, n + 1, capacity)]):
                         part = own[start : head if head and not start else start + capacity]
-                        out.append((doc, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if ids else None))
+                        out.append((doc, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(width).tobytes() if ids else None))
                 cols = list(zip(*out))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + ids]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     return run
@@ -185,9 +196,11 @@ def _pieces(path: str, capacity: int, end: int, ids: bool):
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (, ids) of each text's tokens and the end token.
 
-    Texts of more than ``capacity`` tokens are cut; the first piece takes what is over.
+    Texts of more than ``capacity`` tokens are cut; the first piece takes what is over.  Null and empty
+    texts are the end token alone; rows that repeat a doc_id have pieces each.  ids are little-endian
+    numbers of 2 bytes, or of 4 where the vocabulary needs them.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, end, ids), schema)
 
 
@@ -196,7 +209,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
 
     Null and empty texts are the end token alone.  Rows that repeat a doc_id are packed each for
     itself, null doc_ids too.  An empty table gives an empty result.  Other columns are ignored.
-    Offsets in a sequence are gapless from 0; sequence_id counts from 0.
+    Offsets in a sequence are gapless from 0; sequence_id counts from 0.  With ``ids`` each piece has
+    its token ids, so a sequence is its pieces' ids in the order of offset.
     """
     pieces = cut(token_pieces(docs, tokenizer, capacity, end, ids))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
@@ -209,5 +223,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("r", F.row_number().over(own)).join(base, ["length", "salt"])
     names = pieces.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    kinds = ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.select(*names, (F.col("base") + F.col("r") - 1).alias("rank")).mapInArrow(_placed(runs, names), f"{kinds}, sequence_id long, offset long")
