@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,12 +102,13 @@ def collect_terms(docs: DataFrame, terms: Terms, bits: int) -> dict[str, np.ndar
     got = docs.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, b binary, v binary").toArrow()
     b = [np.frombuffer(x, "<i4") for x in got.column("b").to_pylist()]
     v = [np.frombuffer(x, "<f4") for x in got.column("v").to_pylist()]
+    labels = got.column("label").to_numpy()
+    del got
     size = np.fromiter(map(len, b), np.int64, len(b))
     join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
     # Rows come in any order; sorting them by content makes the fit the same each time.
-    order = sorted(range(len(b)), key=lambda i: (b[i].tobytes(), v[i].tobytes()))
-    labels = got.column("label").to_numpy()
-    return {"label": labels[order] if len(order) else labels, "row": np.repeat(np.arange(len(b)), size[order] if len(order) else size), "bucket": join([b[i] for i in order], "<i4"), "value": join([v[i] for i in order], "<f4").astype(np.float64)}
+    order = sorted(range(len(b)), key=lambda i: hashlib.blake2b(b[i].tobytes() + v[i].tobytes(), digest_size=16).digest())
+    return {"label": labels[order] if len(order) else labels, "row": np.repeat(np.arange(len(b), dtype=np.int32), size[order] if len(order) else size), "bucket": join([b[i] for i in order], "<i4"), "value": join([v[i] for i in order], "<f4")}
 
 
 def held_out(key: str = "doc_id"):
