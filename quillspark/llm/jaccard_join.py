@@ -45,7 +45,7 @@ U64 = np.uint64
 _OWNER, _SEEDS = ["<u8", "<i4"], (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
 #: Sets and tokens in a block of a component, and columns of a block's matrix at a time.
-BLOCK, BLOCK_TOKENS, COLUMNS = 512, 500_000, 4096
+BLOCK, BLOCK_TOKENS, COLUMNS = 256, 250_000, 4096
 #: A token is crowded if so many different sets of a block of texts have it; the most frequent so many are broadcast.
 CROWD, MOST_CROWDED = 32, 100_000
 
@@ -409,7 +409,7 @@ def _linked(sets: DataFrame, links: DataFrame, weights: DataFrame, percent: int,
     many = F.when(whole, F.lit(1)).otherwise(parts).cast("int")
     placed = sized.select("digest", "comp", many.alias("many"), F.pmod(F.xxhash64(F.lit(2), "digest"), many).cast("int").alias("block"))
     held = placed.join(weights, "digest").join(sets.select("digest", "n", "tokens"), "digest")
-    groups = max(1, (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK_TOKENS)
+    groups = max(1, (nodes.agg(F.sum("n")).first()[0] or 0) * 4 // BLOCK_TOKENS)
     own = held.withColumn("other", F.explode(F.expr("sequence(0, many - 1)")))
     own = own.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     own = own.withColumn("place", F.when(F.col("many") > 1, F.xxhash64("comp", "i", "j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(groups))))
