@@ -12,6 +12,7 @@ from quillspark.functions.stopwords import DEFAULT
 #: All white space that a Unicode-aware split knows, spelled out: engines' own classes differ.
 WHITE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 NOT_WORD = r"[^\p{L}\p{N}_]"
+_NOT_TEXT = r"[^\p{L}\p{N}_ ]"
 
 
 def clean(c: Column) -> Column:
@@ -23,7 +24,6 @@ def _ends(w: Column, suffix: str) -> Column:
     return F.endswith(w, F.lit(suffix))
 
 
-
 def _but_last(w: Column, n: int) -> Column:
     return F.substr(w, F.lit(1), F.length(w) - F.lit(n))
 
@@ -52,15 +52,21 @@ def stem(w: Column) -> Column:
 
 
 def words(c: Column, stop_words: Sequence[str] = DEFAULT) -> Column:
-    """Lower-case words without punctuation and stop words."""
-    bare = F.transform(F.split(clean(c), " "), lambda w: F.regexp_replace(F.lower(w), NOT_WORD, ""))
-    stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
-    return F.filter(bare, lambda w: (w != "") & ~F.array_contains(stops, w) if stop_words else w != "")
+    """Lower-case words without punctuation and stop words.
+
+    Case and punctuation are changed in the text as a whole, before it is split; the stop words
+    are a hash set in the plan.
+    """
+    bare = F.split(F.regexp_replace(F.lower(clean(c)), _NOT_TEXT, ""), " ")
+    return F.filter(bare, lambda w: (w != "") & ~w.isin(*stop_words) if stop_words else w != "")
 
 
 def tokens(c: Column, stop_words: Sequence[str] = DEFAULT) -> Column:
     """The stems of a text's words; the same for documents and queries."""
-    return F.transform(words(c, stop_words), stem)
+    # one pass for each step, as a step uses its word many times; a blank shields short words from all of them
+    first = F.transform(words(c, stop_words), lambda w: F.when(F.length(w) <= 3, F.concat(w, F.lit(" "))).otherwise(plural_stem(w)))
+    second = F.transform(first, action_stem)
+    return F.transform(second, lambda w: F.when(_ends(w, " "), _but_last(w, 1)).otherwise(undouble(w)))
 
 
 def shingles(c: Column, k: int) -> Column:

@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine, normalised
-from quillspark.operators.vector import exact_knn, matrix, unit
+from quillspark.operators.vector import MOST_BROADCAST, exact_knn, matrix, unit
 from quillspark.sources.records import ranked
 
+#: Parts of a cell where probes are too many to be broadcast.
+SALTS = 64
+
 
 @dataclass
 class IvfIndex:
@@ -149,12 +152,20 @@ def _some(queries: DataFrame, most: int) -> DataFrame:
 def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 10, skip_self: bool = False, coded: bool = False, shortlist: int = 0) -> DataFrame:
     """query_id, rank, doc_id, score from the ``nprobe`` nearest cells of each query.
 
+    Probes are broadcast up to MOST_BROADCAST bytes, so the vectors are not shuffled.
+
     Scores are exact cosines, or with ``coded`` the products of query parts and code words.  With
     ``shortlist`` so many of the best coded ones of each query are ranked again by exact cosine.
     """
     held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("asked"))
     asked = held.mapInArrow(_probes(index.centroids, min(nprobe, len(index.centroids))), "query_id long, asked array<double>, cell int")
-    found = index.cells.join(asked, "cell")
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("asked")), F.lit(0)).alias("numbers")).first()
+    if (size.n + size.numbers) * 8 * nprobe <= MOST_BROADCAST:
+        found = index.cells.join(F.broadcast(asked), "cell")
+    else:  # there are few cells, so each is parted by salts that all its probes have
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+        probes = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        found = index.cells.withColumn("salt", salt).join(probes, ["cell", "salt"])
     if skip_self:
         found = found.where("query_id <> doc_id")
     if coded:

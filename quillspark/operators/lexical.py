@@ -61,8 +61,9 @@ def _fielded(field: str):
     return F.transform(f"{field}_tokens", lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
 
 
-def build_index(docs: DataFrame, stop_words: Sequence[str] = DEFAULT, unique_ids: bool = True) -> LexicalIndex:
-    """An index of docs (id, title, abstract).  Without ``unique_ids`` one row of an id is taken."""
+def build_index(docs: DataFrame, stop_words: Sequence[str] = DEFAULT, unique_ids: bool = False) -> LexicalIndex:
+    """An index of docs (id, title, abstract).  Of a repeated id one row is taken, the same each time;
+    ``unique_ids`` says that there are none and saves the shuffle."""
     docs = tokenized(docs, stop_words)
     if not unique_ids:
         docs = docs.groupBy("doc_id").agg(F.min_by(F.struct("title_tokens", "abstract_tokens"), F.xxhash64("title_tokens", "abstract_tokens")).alias("t")).select("doc_id", "t.*")

@@ -1,9 +1,11 @@
-"""Random-hyperplane LSH: band tables, candidate groups and re-ranked search."""
+"""Random-hyperplane LSH: band tables, candidate groups, re-ranked search and a saved index."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import band_keys, cosine
@@ -27,14 +29,41 @@ def candidates(table: DataFrame, query_table: DataFrame) -> DataFrame:
     return table.join(query_table, ["band", "bucket"]).select("query_id", "doc_id").distinct()
 
 
+@dataclass
+class LshIndex:
+    """vectors(doc_id, vector), table(doc_id, band, bucket), the planes and the number of bands."""
+
+    vectors: DataFrame
+    table: DataFrame
+    planes: np.ndarray
+    bands: int
+
+    def save(self, path: str) -> None:
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        self.table.write.mode("overwrite").partitionBy("band").parquet(f"{path}/bands")
+        rows = [(i, self.bands, p.tolist()) for i, p in enumerate(self.planes)]
+        self.vectors.sparkSession.createDataFrame(rows, "i int, bands int, plane array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/planes")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LshIndex:
+        planes = spark.read.parquet(f"{path}/planes").orderBy("i").collect()  # a row for each bit
+        return LshIndex(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/bands"), np.array([r.plane for r in planes]), planes[0].bands)
+
+    def search(self, queries: DataFrame, k: int = 10, skip_self: bool = False) -> DataFrame:
+        """query_id, rank, doc_id, score: candidates re-ranked by exact cosine; nothing if none collide."""
+        asked = band_table(signatures(queries, self.planes, "query_id"), len(self.planes), self.bands, "query_id")
+        found = candidates(self.table, asked)
+        if skip_self:
+            found = found.where("query_id <> doc_id")
+        scored = found.join(self.vectors.select("doc_id", "vector"), "doc_id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+        scores = scored.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score")).where("score IS NOT NULL")
+        return ranked(scores, k)
+
+
+def build_lsh(vectors: DataFrame, planes: np.ndarray, bands: int) -> LshIndex:
+    return LshIndex(vectors.select("doc_id", "vector"), band_table(signatures(vectors, planes), len(planes), bands), planes, bands)
+
+
 def lsh_search(vectors: DataFrame, queries: DataFrame, planes: np.ndarray, bands: int, k: int = 10, skip_self: bool = False) -> DataFrame:
-    """query_id, rank, doc_id, score: candidates re-ranked by exact cosine; nothing if none collide."""
-    bits = len(planes)
-    table = band_table(signatures(vectors, planes), bits, bands)
-    asked = band_table(signatures(queries, planes, "query_id"), bits, bands, "query_id")
-    found = candidates(table, asked)
-    if skip_self:
-        found = found.where("query_id <> doc_id")
-    scored = found.join(vectors.select("doc_id", "vector"), "doc_id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
-    scores = scored.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score")).where("score IS NOT NULL")
-    return ranked(scores, k)
+    """``LshIndex.search`` without an index that is kept."""
+    return build_lsh(vectors, planes, bands).search(queries, k, skip_self)

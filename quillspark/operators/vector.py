@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillspark.sources.records import ranked
 
 QUERY_BLOCK = 2048
+#: Bytes of a table that are sent to every executor at most.
+MOST_BROADCAST = 64 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -25,44 +27,60 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool):
+def _packed(batch_ids: np.ndarray, x: np.ndarray) -> tuple[bytes, bytes]:
+    return batch_ids.astype("<i8").tobytes(), unit(x).astype("<f8").tobytes()
+
+
+def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of ids and unit vectors for each QUERY_BLOCK vectors."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, QUERY_BLOCK):
+            part = batch.slice(i, QUERY_BLOCK)
+            row = _packed(part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "vectors"])
+
+
+def _pack_queries(table: pa.Table) -> pa.Table:
+    row = _packed(table.column("query_id").to_numpy(), matrix(table.column("vector").combine_chunks()))
+    return pa.table({n: pa.array([x], pa.binary()) for n, x in zip(("asked_ids", "asked"), row)})
+
+
+def _best(k: int, skip_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            s = np.round(queries @ unit(matrix(batch.column(1))).T, 6)
-            s[np.isnan(s)] = -np.inf
-            if skip_self:
-                s[ids[:, None] == own[None, :]] = -np.inf
-            # the best k of the batch with ties by id, so that nothing of the whole's best k is lost
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(ids)), order.shape[1])
-            col = order.ravel()
-            ok = np.isfinite(s[row, col])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[ok]]), pa.array(own[col[ok]]), pa.array(s[row, col][ok])], names=["query_id", "doc_id", "score"])
+            for row in zip(*(batch.column(n) for n in ("ids", "vectors", "asked_ids", "asked"))):
+                own, x, ids, q = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, ("<i8", "<f8", "<i8", "<f8")))
+                s = np.round(q.reshape(len(ids), -1) @ x.reshape(len(own), -1).T, 6)
+                s[np.isnan(s)] = -np.inf
+                if skip_self:
+                    s[ids[:, None] == own[None, :]] = -np.inf
+                # the best k of the block with ties by id, so that nothing of the whole's best k is lost
+                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+                r = np.repeat(np.arange(len(ids)), order.shape[1])
+                col = order.ravel()
+                ok = np.isfinite(s[r, col])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r[ok]]), pa.array(own[col[ok]]), pa.array(s[r, col][ok])], names=["query_id", "doc_id", "score"])
 
     return run
 
 
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_self: bool = True) -> DataFrame:
     """query_id, rank, doc_id, score: cosine neighbours of queries (query_id, vector) among
-    vectors (doc_id, vector).  Queries are taken in blocks of QUERY_BLOCK; each block is multiplied
-    with every batch of vectors, and a batch sends on its own best k for each query."""
-    spark = vectors.sparkSession
+    vectors (doc_id, vector).
+
+    Queries and vectors become rows of about QUERY_BLOCK unit vectors each; every pair of rows is
+    one matrix product, which sends on its own best k for each query.  The queries' rows are broadcast
+    up to MOST_BROADCAST bytes of them; beyond, executors read them as partitions.
+    """
     held = vectors.where("vector IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
-    blocks = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    n = blocks.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for i in range(parts):
-        block = blocks.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else blocks
-        got = block.toArrow()
-        if not got.num_rows:
-            continue
-        found = held.mapInArrow(_best(got.column("query_id").to_numpy(), unit(matrix(got.column("vector").combine_chunks())), k, skip_self), "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    return ranked(out, k)
+    asked = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
+    parts = max(1, -(-size.n // QUERY_BLOCK))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("block")).applyInArrow(_pack_queries, "asked_ids binary, asked binary")
+    if size.numbers * 8 <= MOST_BROADCAST:
+        blocks = F.broadcast(blocks)
+    pairs = held.mapInArrow(_pack_vectors, "ids binary, vectors binary").crossJoin(blocks)
+    return ranked(pairs.mapInArrow(_best(k, skip_self), "query_id long, doc_id long, score double"), k)
 
 
 def _signs(planes: np.ndarray, names: list[str]):

@@ -6,6 +6,7 @@ with vec_id = doc_id.  Queries are the rows whose id is divisible by 100, over a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from quillspark.operators.vector import exact_knn, signatures
 from quillspark.sources import records
 
 BITS, BANDS, DIMS = 64, 16, 64
+K1 = (0.5, 1.0, 1.5, 2.0)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +42,27 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
 
 
+_saved: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Path, length and time of change of the files of a table, so that a changed table is seen."""
+    jvm, found = spark._jvm, []
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        s = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p)
+        found.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(found)
+
+
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(_corpus(spark, sf_dir))
+    """The index of the corpus, built once in an application and then read from where it is saved."""
+    key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _saved:
+        path = f"{records.shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+        lexical.build_index(_corpus(spark, sf_dir), unique_ids=True).save(path)
+        _saved[key] = path
+    return lexical.LexicalIndex.load(spark, _saved[key])
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +119,24 @@ def bm25_grid_recall(spark, sf_dir):
     return evaluate.bm25_grid_recall(_index(spark, sf_dir), _queries(spark, sf_dir), _knn(spark, sf_dir))
 
 
+def bm25_grid_pivot(spark, sf_dir):
+    return evaluate.recall_pivot(bm25_grid_recall(spark, sf_dir), "b", "k1", K1, "k1_")
+
+
+def titles(spark, sf_dir):
+    rows = records.sanitize(_raw(spark, sf_dir))
+    return records.titles(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "title")
+
+
+def truth_query_texts(spark, sf_dir):
+    raw = _corpus(spark, sf_dir).select("id", "abstract")
+    return records.truth_queries(raw, _vector_queries(spark, sf_dir))
+
+
+def prefix_sample(spark, sf_dir):
+    return records.first_rows(_corpus(spark, sf_dir), 100).select("id", "title")
+
+
 def _knn(spark, sf_dir):
     return exact_knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir))
 
@@ -190,7 +229,7 @@ def ivf_pq_search(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sanitize, embedding_texts, tokenize, stem_vocab, term_frequencies, doc_lengths, term_stats, index_stats, bm25_top10, bm25_top100, bm25_grid_recall]
+    own = [sanitize, embedding_texts, tokenize, stem_vocab, term_frequencies, doc_lengths, term_stats, index_stats, bm25_top10, bm25_top100, bm25_grid_recall, bm25_grid_pivot, titles, truth_query_texts, prefix_sample]
     own += [exact_knn_top10, cosine_pairs, rrf_fusion, hybrid_search, report_lines, lsh_signatures, lsh_bands, lsh_candidate_groups, lsh_search, lsh_grid]
     own += [recall_pivot, pareto_frontier, lsh_s_curve, candidate_histogram, shingle_counts, ivf_search, ivf_pq_search]
     return {f.__name__: f for f in own}

@@ -6,7 +6,7 @@ from quillspark.functions.stopwords import DEFAULT
 from quillspark.functions.text import NOT_WORD, WHITE
 from quillspark.functions.vectors import hyperplanes
 from quillspark.operators.lexical import WEIGHTS
-from quillspark.plans.queries import BANDS, BITS, DIMS
+from quillspark.plans.queries import BANDS, BITS, DIMS, K1
 
 _CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{WHITE}', ' ', 'g'))"
 _CORPUS = f"""
@@ -128,7 +128,12 @@ SELECT w AS word, term AS stem FROM stemmed""",
         "index_stats": f"{w}{_INDEX} SELECT (SELECT count(*) FROM lengths) AS n_docs, count(*) AS n_terms, sum(n)::BIGINT AS n_postings FROM term_stats",
         "bm25_top10": f"{w}{_PARTS},{_bm25(1.5, 0.75, 10)} SELECT * FROM bm25",
         "bm25_top100": f"{w}{_PARTS},{_bm25(1.2, 0.5, 100)} SELECT * FROM bm25",
-        "bm25_grid_recall": f"{w}{_RECALLS} SELECT k1, b, round(avg(coalesce(h, 0) / n), 6) AS recall FROM (SELECT DISTINCT k1, b FROM best), truth LEFT JOIN hits USING (k1, b, query_id) GROUP BY 1, 2",
+        "bm25_grid_recall": f"{w}{_RECALLS} SELECT k1, b, round(avg(coalesce(h, 0) / n), 6) AS recall FROM (SELECT DISTINCT k1, b FROM best) CROSS JOIN truth LEFT JOIN hits USING (k1, b, query_id) GROUP BY 1, 2",
+        "bm25_grid_pivot": f"""{w}{_RECALLS}, m AS (SELECT k1, b, round(avg(coalesce(h, 0) / n), 6) AS recall FROM (SELECT DISTINCT k1, b FROM best) CROSS JOIN truth LEFT JOIN hits USING (k1, b, query_id) GROUP BY 1, 2)
+SELECT b, {', '.join(f'max(recall) FILTER (WHERE k1 = {k}) AS k1_{str(k).replace(chr(46), chr(95))}' for k in K1)} FROM m GROUP BY b""",
+        "titles": f"{w}{_CORPUS} SELECT doc_id, title FROM corpus",
+        "truth_query_texts": f"{w}{_CORPUS}, t AS (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 100 = 0) SELECT doc_id AS query_id, abstract AS text FROM corpus SEMI JOIN t ON vec_id = doc_id",
+        "prefix_sample": f"{w}{_CORPUS} SELECT doc_id AS id, title FROM corpus ORDER BY doc_id LIMIT 100",
         "exact_knn_top10": f"{w}{_V},{_knn(10, False)} SELECT * FROM knn",
         "cosine_pairs": f"{w}{_V} SELECT a.doc_id, round({_COS.format(a='a.x', b='b.x')}, 6) AS cosine FROM v a JOIN v b ON b.doc_id = a.doc_id + 1",
         "rrf_fusion": f"{w}{_RRF} SELECT * FROM rrf",

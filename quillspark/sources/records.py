@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,18 @@ RAW = "id string, title string, abstract string, categories string"
 CLEAN = "id string, categories string, clean_title string, clean_abstract string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local master that names none gets a temporary one."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if not named.isDefined():
+        path = sc.getConf().get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
     """One object a line; broken and blank lines are left out, missing fields are null."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -36,8 +49,18 @@ def embedding_texts(sanitized: DataFrame) -> DataFrame:
 
 
 def titles(sanitized: DataFrame) -> DataFrame:
-    """doc_id, title of each id; of repeated ids the alphabetically last title."""
-    return sanitized.groupBy(F.col("id").alias("doc_id")).agg(F.coalesce(F.max("clean_title"), F.lit("No Title")).alias("title"))
+    """doc_id, title of each id; a missing title is "No Title".
+
+    Of repeated ids the last row's title counts, by file and place in it where the rows come from files.
+    """
+    row = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+    rows = sanitized.select(F.col("id").alias("doc_id"), F.coalesce("clean_title", F.lit("No Title")).alias("title"), row.alias("row"))
+    return rows.groupBy("doc_id").agg(F.max_by("title", "row").alias("title"))
+
+
+def write_tokenized(tokenized: DataFrame, path: str) -> None:
+    """JSON lines with the tokens of title and abstract as lists."""
+    tokenized.write.mode("overwrite").json(path)
 
 
 def corpus(documents: DataFrame, title_words: int = 8) -> DataFrame:

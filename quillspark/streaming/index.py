@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.stopwords import DEFAULT
-from quillspark.operators.lexical import build_index
+from quillspark.operators.lexical import LexicalIndex, build_index
 
 
 def append_stream(docs: DataFrame, path: str, checkpoint: str, stop_words: Sequence[str] = DEFAULT) -> StreamingQuery:
@@ -16,7 +17,7 @@ def append_stream(docs: DataFrame, path: str, checkpoint: str, stop_words: Seque
 
     Each batch has a folder of its own that a repeated batch overwrites, so a restart adds nothing
     twice.  Frequencies and lengths are aggregated when the index is read, so they stay right.
-    ``LexicalIndex`` is read back by ``read_appended``.
+    The index is read back by ``read_appended``.
     """
 
     def add(batch: DataFrame, number: int) -> None:
@@ -25,3 +26,15 @@ def append_stream(docs: DataFrame, path: str, checkpoint: str, stop_words: Seque
         index.lengths.write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_appended(spark: SparkSession, path: str) -> LexicalIndex:
+    """The index of all batches that ``append_stream`` wrote to ``path``.
+
+    Of an id that several batches have, the latest batch counts.
+    """
+    postings, lengths = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths"))
+    latest = Window.partitionBy("doc_id").orderBy(F.col("batch").desc())
+    lengths = lengths.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    postings = postings.join(lengths.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
+    return LexicalIndex(postings.select("term", "doc_id", "field", "tf"), lengths.drop("batch"))
