@@ -164,7 +164,7 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 1
         found = index.cells.join(F.broadcast(asked), "cell")
     else:  # there are few cells, so each is parted by salts that all its probes have
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        probes = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        probes = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         found = index.cells.withColumn("salt", salt).join(probes, ["cell", "salt"])
     if skip_self:
         found = found.where("query_id <> doc_id")
