@@ -147,11 +147,13 @@ def scored(docs: DataFrame, terms: Terms, bits: int, model: Callable[[np.ndarray
             for i, j in blocks(texts):
                 d, h, v = terms(texts[i:j])
                 out = model(d, (h >> U64(64 - bits)).astype(np.int64), v, j - i)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), *(pa.array(x, pa.float64()) for x in out)], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in held), *(pa.array(x, pa.float64()) for x in out)], names=[*held, *names])
 
-    rows = docs.select(*(docs[f"`{c.replace('`', '``')}`"] for c in dict.fromkeys([*kept, "text"])))
-    kinds = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
-    return rows.mapInArrow(run, kinds)
+    # mapInArrow takes a dot in a name for a field, so the kept columns have names of their own meanwhile
+    held = [f"kept{i}" for i in range(len(kept))]
+    rows = docs.select(*(docs[f"`{c.replace('`', '``')}`"].alias(h) for c, h in zip(kept, held)), docs["text"].alias("text"))
+    kinds = T.StructType([*(rows.schema[h] for h in held), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return rows.mapInArrow(run, kinds).toDF(*kept, *names)
 
 
 class Adam:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FRAME, RATE, SEGMENTS = 576, 48_000, 64
+FRAME, RATE, SEGMENTS = 576, 48_000, 8
 CONTINUED, FIRST, LAST = 1, 2, 4
 _HEAD = struct.Struct("<4sBBqIIIB")
 #: Each byte with its bits reversed.

@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, carry: list[str] | None = No
     words and an empty ``kept``.  Texts shorter than ``size`` words lose nothing.  Rows that
     repeat a doc_id take nothing from each other.  A null doc_id neither gives nor loses.  An empty
     table gives an empty result.  Columns that aren't carried are ignored; carried ones must not be
-    named n_words, n_removed, kept, k, found or places (put others into a struct).  Words are compared by
+    named n_words, n_removed, kept, k, found or places, or have a dot (put others into a struct).  Words are compared by
     64-bit hashes of their windows.  Memory: a hash range or a batch of texts for each task.
     """
     clash = {"n_words", "n_removed", "kept", "k", "places", "found"} & set(carry or [])
