@@ -73,6 +73,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_sentence_pieces(spark, sf_dir).select("doc_id", "decoded_sha256", "round_trip")
+
+
+def ogg_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return op7_ogg_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_best_fit_packing, op2_jaccard_join, op3_quality_grade, op4_license_scan, op5_substring_dedup]
-    own += [op6_sentence_pieces, op7_ogg_media, op8_toxicity, op9_url_filter, op10_quality_rules, pipeline]
+    own += [op6_sentence_pieces, op7_ogg_media, op8_toxicity, op9_url_filter, op10_quality_rules, pipeline, license_base, piece_round_trip, ogg_payload]
     return {f.__name__: f for f in own}
 
 
@@ -149,5 +164,27 @@ FROM b
 """
 
 
+_LICENSE = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i - 1 AS pos, CASE WHEN ws[i] = 'mit' AND ws[i + 1] = 'license' THEN 'mit' WHEN ws[i] = 'apache' AND ws[i + 1] = 'license' THEN 'apache'
+    WHEN ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license' THEN 'gpl' END AS label FROM w, unnest(range(1, len(ws) + 1)) t(i)
+),
+b AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id
+"""
+
+_OGG = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+n AS (SELECT *, octet_length(t)::BIGINT AS n FROM d),
+p AS (SELECT *, CASE WHEN n = 0 THEN 576 ELSE (576 - n % 576) % 576 END AS more FROM n)
+SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(t || repeat('\\xFF'::BLOB, more)) AS payload_sha256, NULL::VARCHAR AS error FROM p
+"""
+
+_PIECES = "SELECT doc_id, sha256(replace(coalesce(text, ''), chr(9601), ' ')) AS decoded_sha256, true AS round_trip FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": _OP2, "op5_substring_dedup": _OP5, "op9_url_filter": _OP9, "op10_quality_rules": _OP10}
+    base = {"license_base": _LICENSE, "piece_round_trip": _PIECES, "ogg_payload": _OGG}
+    return base | {"op2_jaccard_join": _OP2, "op5_substring_dedup": _OP5, "op9_url_filter": _OP9, "op10_quality_rules": _OP10}
