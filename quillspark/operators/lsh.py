@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,12 @@ def band_table(signed: DataFrame, bits: int, bands: int, key: str = "doc_id") ->
     return signed.select(key, F.posexplode(band_keys(F.col("signature"), bits, bands)).alias("band", "bucket"))
 
 
+def band_tables(signed: DataFrame, settings: Sequence[tuple[int, int]], key: str = "doc_id") -> DataFrame:
+    """key, num_bits, b, band, bucket: the band tables of several numbers of bits and bands in one."""
+    row = lambda n, b: lambda x, i: F.struct(F.lit(n).cast("long").alias("num_bits"), F.lit(b).cast("long").alias("b"), i.alias("band"), x.alias("bucket"))
+    return signed.select(key, F.inline(F.concat(*(F.transform(band_keys(F.col("signature"), n, b), row(n, b)) for n, b in settings))))
+
+
 def candidate_groups(table: DataFrame) -> DataFrame:
     """members: the distinct id lists of buckets with more than one."""
     groups = table.groupBy("band", "bucket").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("members"), F.count("*").alias("n"))
