@@ -175,7 +175,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens are cut out of a text before it is split, the longest of those that begin first
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take blanks, or stand as whole words or in normalised text only, are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.merge = _merger(path)
         self.cache = IdCache(most)
 
@@ -188,7 +193,25 @@ class Encoder:
         return size, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text's ids."""
+        """All ids, and the number of each text's ids, as the library gives them without added ends."""
+        if self.cut is None or not any(map(self.cut.search, texts)):
+            return self.plain(texts)
+        parts = [[t[a:b] for a, b in zip((0, *(m.end() for m in found)), (*(m.start() for m in found), len(t)))] for t in texts for found in [list(self.cut.finditer(t))]]
+        marks = [[self.added[m[0]] for m in self.cut.finditer(t)] for t in texts]
+        ids, size = self.plain(list(chain.from_iterable(parts)))
+        between = np.split(ids, np.cumsum(size)[:-1])
+        out, at, sizes = [], 0, []
+        for own in marks:
+            row = [between[at]]
+            for i, mark in enumerate(own, 1):
+                row += [np.array([mark], np.uint32), between[at + i]]
+            at += len(own) + 1
+            sizes.append(sum(map(len, row)))
+            out += row
+        return np.concatenate(out), np.array(sizes, np.int64)
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without added tokens."""
         joined = "\n".join(texts)
         if not joined:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)

@@ -4,7 +4,7 @@ Lengths are whole numbers up to the capacity, so what fits with what is decided
 of lengths alone: at most ``capacity`` counts, whatever the number of documents.  From the
 longest length down, gaps are filled exactly by a single length, a pair or a triple of lengths,
 looked up in the index of single, pair and triple sums and used as often as the counts allow.
-What has no exact complement is packed best-fit: the sum that leaves least of the gap.
+What has no exact complement is packed best-fit, the longest first.
 
 Every decision is a pattern (some lengths, so many times).  Pieces then take places by their rank
 within their length.  Ranks come from a window within (length, salt) after the salts' counts are
@@ -50,16 +50,16 @@ class _Sums:
         """How often the stock has these parts."""
         return min(int(self.counts[x]) // parts.count(x) for x in set(parts))
 
-    def exact(self, used: list[int], gap: int) -> list[int] | None:
-        """One, two or three lengths with sum ``gap`` that are in stock beside ``used``."""
+    def exact(self, used: list[int], gap: int, parts: int) -> list[int] | None:
+        """So many lengths (one, two or three) with sum ``gap`` that are in stock beside ``used``."""
         ok = lambda more: self.enough(used + more) > 0
-        if self.single >> gap & 1 and ok([gap]):
+        if parts == 1 and self.single >> gap & 1 and ok([gap]):
             return [gap]
-        if self.pair >> gap & 1:
+        if parts == 2 and self.pair >> gap & 1:
             for a in reversed(self.lengths):
                 if 2 * a >= gap > a and self.single >> gap - a & 1 and ok([a, gap - a]):
                     return [a, gap - a]
-        if self.triple >> gap & 1:
+        if parts == 3 and self.triple >> gap & 1:
             for a in reversed(self.lengths):
                 rest = gap - a
                 if 3 * a < gap:
@@ -72,30 +72,14 @@ class _Sums:
                             return [a, b, rest - b]
         return None
 
-    def best(self, used: list[int], gap: int) -> list[int] | None:
-        """Up to three lengths with the largest sum that fits into ``gap``."""
-        sums = (self.single | self.pair | self.triple) & (1 << gap + 1) - 1
-        while sums:
-            size = sums.bit_length() - 1
-            found = self.exact(used, size) if size else None
-            if found:
-                return found
-            sums &= (1 << size) - 1
-        return None
-
 
-def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns (times, [(length, copies), ...]) that use every piece once.
+def _complemented(counts: np.ndarray, most: int) -> list[Pattern]:
+    """Patterns that fill sequences exactly by a length and up to ``most`` more; takes them off ``counts``.
 
-    Each pattern uses up a length or all but fewer of it than one pattern needs, so there are in
-    the order of ``capacity`` patterns.
+    First every length from the longest down gets a single complement, then what is left a pair,
+    then a triple, so the small lengths last until they are needed.
     """
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    if counts[0]:
-        raise ValueError("a piece has at least one token")
-    stock, out = _Sums(counts), []
+    stock, out, capacity = _Sums(counts), [], len(counts) - 1
 
     def take(parts: list[int]) -> None:
         times = stock.enough(parts)
@@ -107,21 +91,60 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
 
     if counts[capacity]:
         take([capacity])
-    for length in range(capacity - 1, 0, -1):
-        while counts[length]:
-            more = stock.exact([length], capacity - length)
-            if not more:
-                break
-            take([length, *more])
-    for length in range(capacity - 1, 0, -1):
-        while counts[length]:
-            parts = [length]
-            while more := stock.best(parts, capacity - sum(parts)):
-                parts += more
-            take(parts)
+    for depth in range(1, most + 1):
+        for length in range(capacity - 1, 0, -1):
+            while counts[length] and (more := stock.exact([length], capacity - length, depth)):
+                take([length, *more])
     return out
 
 
+def _best_fit(counts: np.ndarray) -> list[Pattern]:
+    """Best-fit decreasing on a histogram: groups of equally filled sequences take a length together."""
+    capacity = len(counts) - 1
+    groups: list[list[Pattern]] = [[] for _ in counts]  # by free room
+    roomy = 0  # bit set of the rooms that have a group
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        while left:
+            fits = roomy >> length
+            room = length + ((fits & -fits).bit_length() - 1) if fits else capacity
+            many, parts = groups[room].pop() if fits else (left, [])
+            if fits and not groups[room]:
+                roomy &= ~(1 << room)
+            each = room // length
+            full = min(many, left // each)
+            last = min(left - full * each, each - 1) if full < many else 0
+            new = [(full, [*parts, (length, each)], room - each * length), (1, [*parts, (length, last)], room - last * length)]
+            rest = many - full - (last > 0)
+            for times, own, free in [*(x for x in new if x[0] and x[1][-1][1]), *([(rest, parts, room)] if fits else [])]:
+                if times:
+                    groups[free].append((times, own))
+                    roomy |= (1 << free) if free else 0
+            left -= full * each + last
+    return [x for g in groups for x in g]
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns (times, [(length, copies), ...]) that use every piece once.
+
+    Exact complements of one, two and three lengths are used up in turn, and best fit takes the
+    residuals.  On histograms without many equal lengths, triples can spend the small ones that best
+    fit needs; so the residuals are also packed after pairs, after singles and at once, and the plan
+    with the fewest sequences counts, the one with most exact complements between equals.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    if counts[0]:
+        raise ValueError("a piece has at least one token")
+    plans = []
+    for most in (3, 2, 1, 0):
+        own = counts.copy()
+        exact = _complemented(own, most)
+        plans.append(exact + _best_fit(own))
+    return min(plans, key=lambda p: sum(times for times, _ in p))
+
+
 def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     """Runs of ranks of each length: those from ``rank`` on go to sequences ``first`` + i, i < times.
 

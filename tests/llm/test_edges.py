@@ -1,10 +1,12 @@
 """Nulls, clashing names, crowded rows, broken input and models against plain loops."""
 
+import bisect
 import hashlib
 import math
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -262,11 +264,21 @@ def test_scores_by_plain_loops(spark):
 
 
 def test_sample_is_bounded(spark):
-    docs = spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"))
+    docs = spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.concat(F.repeat(F.lit("word "), 200), F.col("id").cast("string")).alias("text"))
     labels = spark.range(30).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
     assert _terms.labelled_sample(docs, labels, F.col("toxic"), 100).count() < 200
     small = _terms.labelled_sample(docs, labels, F.col("toxic"), 10_000, most_bytes=50_000)
     assert 0 < small.agg(F.sum(F.octet_length("text"))).first()[0] < 120_000
+    assert sorted(small.collect()) == sorted(_terms.labelled_sample(docs.repartition(7), labels, F.col("toxic"), 10_000, most_bytes=50_000).collect())
+
+
+def test_shares_are_exact_at_any_size(spark):
+    """At a share of 1e-8 a table of many billions of rows still gives its sample."""
+    edge = spark.range(2_000_000).select(F.shiftrightunsigned(F.xxhash64("id"), 2).alias("h"))
+    for share in (1e-3, 1e-5):
+        assert abs(spark.range(2_000_000).where(_terms.hash_share(share, "id")).count() - 2_000_000 * share) < 6 * (2_000_000 * share) ** 0.5 + 1
+    least = edge.agg(F.min("h")).first()[0]
+    assert spark.range(2_000_000).where(_terms.hash_share((least + 1024) / 2**62, "id")).count() == 1 and int(1e-8 * (1 << 62)) > 10**10
 
 
 def test_cache_is_bounded_by_ids():
@@ -299,6 +311,30 @@ def test_urls_of_an_empty_table_and_clashing_names(spark):
     assert {r.verdict for r in url_filter.url_verdicts(pages, rules.where("false")).collect()} == {"allow"}
 
 
+def test_urls_with_very_many_labels(spark):
+    rules = spark.createDataFrame([("b.com", "/", "block"), ("com", "/", "allow"), ("", "", "block"), (".x", "", "block")], url_filter.RULES_SCHEMA)
+    host = "a." * 100_000
+    pages = spark.createDataFrame([(1, f"http://{host}b.com/p"), (2, f"http://{host}com/"), (3, host), (4, f"http://{host}.x/"), (5, f"http://{host}")], "page_id int, url string")
+    assert {r.page_id: r.rule for r in url_filter.url_verdicts(pages, rules).collect()} == {1: "b.com/", 2: "com/", 3: "", 4: ".x", 5: ""}
+
+
+def test_fewer_sequences_than_best_fit():
+    r = np.random.default_rng(4)
+    for n, make in ((4000, lambda n: r.integers(1, 2049, n)), (20_000, lambda n: np.clip(r.lognormal(6, 1, n), 1, 2048).astype(int)), (3000, lambda n: r.integers(400, 1025, n)), (60, lambda n: r.integers(1, 900, n))):
+        x = make(n)
+        free, bins = [], 0
+        for size in sorted(x.tolist(), reverse=True):
+            at = bisect.bisect_left(free, size)
+            bins += at == len(free)
+            bisect.insort(free, (free.pop(at) if at < len(free) else 2048) - size)
+        found = packing.plan(Counter(x.tolist()), 2048)
+        used = Counter()
+        for times, parts in found:
+            assert times > 0 and sum(a * b for a, b in parts) <= 2048
+            used.update({a: b * times for a, b in parts})
+        assert used == Counter(x.tolist()) and sum(t for t, _ in found) <= bins
+
+
 def test_checkpoints_need_a_shared_folder():
     class Named:
         def isDefined(self):

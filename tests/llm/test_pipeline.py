@@ -140,7 +140,6 @@ def _encoder():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 0]
 
 
