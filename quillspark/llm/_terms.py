@@ -116,23 +116,29 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def hash_share(share: float, *columns):
+    """True for about ``share`` of the rows, by a hash of the columns; for all if it is 1 or more."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 2) < int(share * (1 << 62)) if share < 1 else F.lit(True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:
     """text, label of about ``most_rows`` labelled rows that aren't held out, chosen by a hash of the id.
 
     ``label`` is a column expression on ``labels``; rows where it is null don't count.  The chosen
-    ids are broadcast: there are ``most_rows`` of them, give or take a few hundredths.  If their texts
-    (of repeated ids too) are more than ``most_rows`` by a tenth or have more than ``most_bytes``, a
-    random share of them is taken that has about as many.
+    ids are broadcast: there are ``most_rows`` of them, give or take a few hundredths.  Rows that repeat
+    an id and its text count once.  If the texts are more than ``most_rows`` by a tenth or have more
+    than ``most_bytes``, those with the least hashes are taken that are about as many.  All shares are
+    of 62 bits of a hash, so they hold for any number of rows and give the same rows each time.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     share = min(1.0, most_rows / max(n, 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    chosen = known.where(hash_share(share, "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
     found = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     share = min(most_bytes / max(found.bytes or 0, 1), 1.1 * most_rows / max(found.n, 1))
-    return rows.sample(share, 7) if share < 1 else rows
+    return rows.where(hash_share(share, "doc_id", "text", F.lit(7))).select("text", "label")
 
 
 def scored(docs: DataFrame, terms: Terms, bits: int, model: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[np.ndarray]], names: list[str], kept: list[str]) -> DataFrame:
