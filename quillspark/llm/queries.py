@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import jaccard_join, license_scan, ogg, packing, quality_grade, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filter
+from quillspark.llm import decontamination, fill_in_middle, jaccard_join, license_scan, ogg, packing, quality_grade, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filter, vector_codes
 from quillspark.llm._terms import held_out
 
 #: (host, path, action)
@@ -73,6 +73,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.restore(fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    coded, books = vector_codes.compress(vectors)
+    out = vector_codes.with_label_errors(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that SQL can express."""
     return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -96,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_best_fit_packing, op2_jaccard_join, op3_quality_grade, op4_license_scan, op5_substring_dedup]
-    own += [op6_sentence_pieces, op7_ogg_media, op8_toxicity, op9_url_filter, op10_quality_rules, pipeline, license_base, piece_round_trip, ogg_payload]
+    own += [op6_sentence_pieces, op7_ogg_media, op8_toxicity, op9_url_filter, op10_quality_rules, op11_fill_in_middle, op12_decontamination, op13_vector_codes, pipeline, license_base, piece_round_trip, ogg_payload]
     return {f.__name__: f for f in own}
 
 
@@ -185,6 +203,70 @@ SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(t || repeat('\\xF
 _PIECES = "SELECT doc_id, sha256(replace(coalesce(text, ''), chr(9601), ' ')) AS decoded_sha256, true AS round_trip FROM documents"
 
 
+_OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b FROM u),
+p AS (
+  SELECT doc_id, t, n, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+_OP12 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS g FROM b, unnest(range(1, greatest(len(ws) - 8, 2))) t(i) WHERE len(ws) > 0),
+ms AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g FROM d, ms, unnest(range(1, len(ws) - m + 2)) t(i)),
+hit AS (SELECT DISTINCT doc_id, i, m, item_id FROM dw JOIN bw USING (m, g)),
+places AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM hit, unnest(range(0, m)) u(k) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN named x ON x.doc_id = d.doc_id
+"""
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Each round as tables: the codebooks, every part's nearest entry, the entries' new components."""
+    out = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, unnest(range(8)) t(p)),
+book0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id))::BIGINT - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16))"""
+    for r in range(rounds + 1):
+        out += f""",
+near{r} AS MATERIALIZED (
+  SELECT vec_id, p, x, e, d FROM (
+    SELECT vec_id, p, x, e, d, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) AS k FROM (
+      SELECT vec_id, a.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM parts a JOIN book{r} b ON a.p = b.p
+    )
+  ) WHERE k = 1
+)"""
+        if r < rounds:
+            out += f""",
+mean{r} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM near{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY p, e, i) GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e)"""
+    return (
+        out
+        + f""",
+coded AS (SELECT vec_id, string_agg(lpad(printf('%x', e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+labelled AS (SELECT k.vec_id, label, code, error FROM kept k JOIN coded USING (vec_id))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM labelled
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     base = {"license_base": _LICENSE, "piece_round_trip": _PIECES, "ogg_payload": _OGG}
-    return base | {"op2_jaccard_join": _OP2, "op5_substring_dedup": _OP5, "op9_url_filter": _OP9, "op10_quality_rules": _OP10}
+    return base | {"op2_jaccard_join": _OP2, "op5_substring_dedup": _OP5, "op9_url_filter": _OP9, "op10_quality_rules": _OP10, "op11_fill_in_middle": _OP11, "op12_decontamination": _OP12, "op13_vector_codes": _codes_sql()}
