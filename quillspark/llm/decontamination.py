@@ -73,7 +73,8 @@ def _hits(docs: DataFrame, windows: DataFrame, span: int) -> DataFrame:
     runs = F.when(F.size("least") > 0, F.filter(F.sequence(F.lit(0), F.size("least") - 1), new)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("runs", runs).select("doc_id", "text_hash", "grams", "least", "runs", F.posexplode_outer("runs").alias("i", "from"))
     upto = F.coalesce(F.get("runs", F.col("i") + 1), F.size("least"))
-    near = F.slice("grams", F.col("from") + 1, upto - F.col("from") + _last(span))
+    # never null, so that no filter on nulls cuts it out of every run: it is only cut out of those that meet an item
+    near = F.coalesce(F.slice("grams", F.col("from") + 1, upto - F.col("from") + _last(span)), _empty())
     rows = rows.select("doc_id", "text_hash", F.get("least", F.col("from")).alias("value"), "from", upto.alias("upto"), near.alias("near"))
     found = rows.join(windows, "value").select("doc_id", "text_hash", "item_id", "from", "near", "first", "final", F.explode(F.sequence("from", F.col("upto") - 1)).alias("start"))
     at = F.col("start") - F.col("from")
