@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.stopwords import DEFAULT
-from quillspark.sources.records import ranked
+from quillspark.sources.records import cut, ranked
 
 #: Fields and their weights.
 WEIGHTS = {"title": 1.5, "abstract": 1.0}
 MOST_TF = 65535
+#: Terms of all queries that are broadcast at most.
+MOST_TERMS = 500_000
 
 
 @dataclass
 class LexicalIndex:
-    """postings(term, doc_id, field, tf), lengths(doc_id, title_len, abstract_len)."""
+    """postings(term, doc_id, field, tf, len), lengths(doc_id, title_len, abstract_len).
+
+    len is the length of the posting's field, so a search needs no lengths.  What is saved is read
+    back as ``store.StoredIndex``, which has the same methods and reads its terms' files only.
+    """
 
     postings: DataFrame
     lengths: DataFrame
 
     def term_stats(self, df_mode: str = "postings") -> DataFrame:
         """term, n: postings of the term, or with ``documents`` the documents that have it."""
-        n = F.count("*") if df_mode == "postings" else F.count_distinct("doc_id")
-        return self.postings.groupBy("term").agg(n.alias("n"))
+        return _counted(self.postings, df_mode)
 
     def corpus_stats(self) -> DataFrame:
         """One row: n_docs, avg_title, avg_abstract over all documents, those without tokens too."""
@@ -38,17 +43,30 @@ class LexicalIndex:
         docs = self.lengths.agg(F.count("*").alias("n_docs"))
         return docs.crossJoin(self.term_stats().agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_postings")))
 
+    def lookup(self, terms: DataFrame, df_mode: str = "postings") -> tuple[DataFrame, DataFrame]:
+        """The postings of ``terms`` (term, distinct), and term, n of those that the index has."""
+        found = self.postings.join(terms, "term", "left_semi")
+        return found, _counted(found, df_mode)
+
     def postings_of(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term)
 
     def save(self, path: str) -> None:
-        """Postings in ranges sorted by term, so a term's scan skips row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        """Makes it the content of the saved index at ``path``; readers see the old one until all is written."""
+        from quillspark.operators.store import IndexStore
+
+        IndexStore(self.postings.sparkSession, path).replace(self)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def load(spark: SparkSession, path: str):
+        from quillspark.operators.store import load
+
+        return load(spark, path)
+
+
+def _counted(postings: DataFrame, df_mode: str) -> DataFrame:
+    n = F.count("*") if df_mode == "postings" else F.count_distinct("doc_id")
+    return postings.groupBy("term").agg(n.alias("n"))
 
 
 def tokenized(docs: DataFrame, stop_words: Sequence[str] = DEFAULT) -> DataFrame:
@@ -57,21 +75,48 @@ def tokenized(docs: DataFrame, stop_words: Sequence[str] = DEFAULT) -> DataFrame
     return kept.select(F.col("id").alias("doc_id"), T.tokens(F.col("title"), stop_words).alias("title_tokens"), T.tokens(F.col("abstract"), stop_words).alias("abstract_tokens"))
 
 
-def _fielded(field: str):
-    return F.transform(f"{field}_tokens", lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """Of rows with one id the one whose texts have the least hash.
+
+    Only ids are counted; no text is shuffled unless its id is repeated.
+    """
+    repeated = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if repeated.isEmpty():
+        return docs
+    repeated = cut(repeated)
+    texts = F.struct("title", "abstract")
+    one = docs.join(repeated, "id", "left_semi").groupBy("id").agg(F.min_by(texts, F.struct(F.xxhash64("title", "abstract"), texts)).alias("t")).select("id", "t.*")
+    return docs.join(repeated, "id", "left_anti").unionByName(one)
 
 
-def build_index(docs: DataFrame, stop_words: Sequence[str] = DEFAULT, unique_ids: bool = False) -> LexicalIndex:
-    """An index of docs (id, title, abstract).  Of a repeated id one row is taken, the same each time;
-    ``unique_ids`` says that there are none and saves the shuffle."""
-    docs = tokenized(docs, stop_words)
-    if not unique_ids:
-        docs = docs.groupBy("doc_id").agg(F.min_by(F.struct("title_tokens", "abstract_tokens"), F.xxhash64("title_tokens", "abstract_tokens")).alias("t")).select("doc_id", "t.*")
-    pairs = F.concat(*map(_fielded, WEIGHTS))
-    exploded = docs.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.field", "p.term")
-    postings = exploded.groupBy("term", "doc_id", "field").agg(F.least(F.count("*"), F.lit(MOST_TF)).alias("tf"))
-    lengths = docs.select("doc_id", F.size("title_tokens").cast("long").alias("title_len"), F.size("abstract_tokens").cast("long").alias("abstract_len"))
-    return LexicalIndex(postings, lengths)
+def indexed_words(docs: DataFrame, stop_words: Sequence[str] = DEFAULT) -> DataFrame:
+    """doc_id, title_words, abstract_words of each id of docs (id, title, abstract), which isn't empty.
+
+    Stop words are left out.  Of a repeated id one row is taken, the same each time.
+    """
+    kept = docs.where("id IS NOT NULL AND cast(id AS string) <> ''").select("id", "title", "abstract")
+    return _one_row_each(kept).select(F.col("id").alias("doc_id"), T.words(F.col("title"), stop_words).alias("title_words"), T.words(F.col("abstract"), stop_words).alias("abstract_words"))
+
+
+def postings_of_words(words: DataFrame) -> DataFrame:
+    """term, doc_id, field, tf, len.  Words are stemmed as rows, in compiled code, and not inside arrays."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.size(f"{f}_words").cast("long").alias("len"), F.col(f"{f}_words").alias("words")) for f in WEIGHTS))
+    rows = words.select("doc_id", F.inline(fields)).select("doc_id", "field", "len", F.explode("words").alias("word"))
+    terms = rows.select(T.stem(F.col("word")).alias("term"), "doc_id", "field", "len")
+    return terms.groupBy("term", "doc_id", "field", "len").agg(F.least(F.count("*"), F.lit(MOST_TF)).alias("tf")).select("term", "doc_id", "field", "tf", "len")
+
+
+def lengths_of_words(words: DataFrame) -> DataFrame:
+    return words.select("doc_id", F.size("title_words").cast("long").alias("title_len"), F.size("abstract_words").cast("long").alias("abstract_len"))
+
+
+def build_index(docs: DataFrame, stop_words: Sequence[str] = DEFAULT) -> LexicalIndex:
+    """An index of docs (id, title, abstract), not saved: each use of it tokenises again.
+
+    Of a repeated id one row is taken, the same each time.
+    """
+    words = indexed_words(docs, stop_words)
+    return LexicalIndex(postings_of_words(words), lengths_of_words(words))
 
 
 def query_terms(queries: DataFrame, stop_words: Sequence[str] = DEFAULT) -> DataFrame:
@@ -79,17 +124,22 @@ def query_terms(queries: DataFrame, stop_words: Sequence[str] = DEFAULT) -> Data
     return queries.select("query_id", F.explode(T.tokens(F.col("text"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_parts(index: LexicalIndex, queries: DataFrame, stop_words: Sequence[str] = DEFAULT, df_mode: str = "postings") -> DataFrame:
-    """Query terms with their postings, idf and relative lengths; what k1 and b are applied to."""
-    terms = query_terms(queries, stop_words).join(index.term_stats(df_mode), "term").crossJoin(F.broadcast(index.corpus_stats()))
+def bm25_parts(index, queries: DataFrame, stop_words: Sequence[str] = DEFAULT, df_mode: str = "postings") -> DataFrame:
+    """Query terms with their postings, idf and relative lengths; what k1 and b are applied to.
+
+    ``index`` is a ``LexicalIndex`` or a ``StoredIndex``.  Postings of other terms are neither counted nor
+    joined; the terms are broadcast up to MOST_TERMS rows, so that postings aren't shuffled.
+    """
+    asked = cut(query_terms(queries, stop_words))
+    found, n = index.lookup(asked.select("term").distinct(), df_mode)
+    terms = asked.join(n, "term").crossJoin(F.broadcast(index.corpus_stats()))  # one row
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
     terms = terms.select("query_id", "term", "qtf", idf.alias("idf"), "avg_title", "avg_abstract")
-    hits = index.postings.join(terms, "term").join(index.lengths, "doc_id")
-    pick = lambda a, b: F.when(F.col("field") == "title", F.col(a)).otherwise(F.col(b))
+    hits = found.join(F.broadcast(terms) if asked.count() <= MOST_TERMS else terms, "term")
     weight = F.lit(1.0)
     for f, w in WEIGHTS.items():
         weight = F.when(F.col("field") == f, F.lit(w)).otherwise(weight)
-    share = pick("title_len", "abstract_len") / pick("avg_title", "avg_abstract")
+    share = F.col("len") / F.when(F.col("field") == "title", F.col("avg_title")).otherwise(F.col("avg_abstract"))
     return hits.select("query_id", "doc_id", "tf", (F.col("qtf") * F.col("idf") * weight).alias("gain"), share.alias("share"))
 
 
@@ -98,7 +148,7 @@ def tf_component(k1, b):
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("share")))
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, *, k1: float = 1.5, b: float = 0.75, stop_words: Sequence[str] = DEFAULT, df_mode: str = "postings") -> DataFrame:
+def bm25_search(index, queries: DataFrame, top_k: int = 10, *, k1: float = 1.5, b: float = 0.75, stop_words: Sequence[str] = DEFAULT, df_mode: str = "postings") -> DataFrame:
     """query_id, rank, doc_id, score: each query's best documents with a positive score.
 
     Saturation is by field and weighted afterwards.  Scores are rounded to 6 decimals and ranked

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine, hyperplanes
-from quillspark.operators import evaluate, fusion, ivf, lexical, lsh, search
+from quillspark.operators import evaluate, fusion, ivf, lexical, lsh, search, store
 from quillspark.operators.vector import exact_knn, signatures
 from quillspark.sources import records
 
@@ -55,14 +55,14 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(found)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+def _index(spark: SparkSession, sf_dir: str) -> store.StoredIndex:
     """The index of the corpus, built once in an application and then read from where it is saved."""
     key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _saved:
         path = f"{records.shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
-        lexical.build_index(_corpus(spark, sf_dir), unique_ids=True).save(path)
+        store.IndexStore(spark, path).append(_corpus(spark, sf_dir))
         _saved[key] = path
-    return lexical.LexicalIndex.load(spark, _saved[key])
+    return store.load(spark, _saved[key])
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def stem_vocab(spark, sf_dir):
 
 
 def term_frequencies(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.select("term", "doc_id", "field", "tf")
 
 
 def doc_lengths(spark, sf_dir):

@@ -27,6 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str, kept: set[str]) -> None:
+    """Removes the folders two levels below ``path`` (``a/b``) that aren't among ``kept``.
+
+    Through Spark's own file system classes, so of classic sessions only.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for a in fs.listStatus(top):
+        for b in fs.listStatus(a.getPath()) if a.isDirectory() else ():
+            if b.isDirectory() and f"{a.getPath().getName()}/{b.getPath().getName()}" not in kept:
+                fs.delete(b.getPath(), True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
     """One object a line; broken and blank lines are left out, missing fields are null."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -4,37 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.stopwords import DEFAULT
-from quillspark.operators.lexical import LexicalIndex, build_index
+from quillspark.operators.store import IndexStore, StoredIndex
 
 
-def append_stream(docs: DataFrame, path: str, checkpoint: str, stop_words: Sequence[str] = DEFAULT) -> StreamingQuery:
+def append_stream(docs: DataFrame, path: str, checkpoint: str, stop_words: Sequence[str] = DEFAULT, fan: int = 4) -> StreamingQuery:
     """Adds each batch of a stream (id, title, abstract) to the index at ``path``.
 
-    Each batch has a folder of its own that a repeated batch overwrites, so a restart adds nothing
-    twice.  Frequencies and lengths are aggregated when the index is read, so they stay right.
-    The index is read back by ``read_appended``.
+    A batch becomes a segment; ids that the index has are overwritten.  The manifest holds the number of
+    the last batch, so one that is repeated after a restart adds nothing.  Segments are merged as
+    they gather, so that readers never have many.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        index = build_index(batch, stop_words)
-        index.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        index.lengths.write.mode("overwrite").parquet(f"{path}/lengths/batch={number}")
+        store = IndexStore(batch.sparkSession, path)
+        store.append(batch, stop_words, number)
+        store.compact(fan)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_appended(spark: SparkSession, path: str) -> LexicalIndex:
-    """The index of all batches that ``append_stream`` wrote to ``path``.
+def read_appended(spark: SparkSession, path: str) -> StoredIndex:
+    """The index of all batches that ``append_stream`` wrote to ``path``; empty before the first.
 
     Of an id that several batches have, the latest batch counts.
     """
-    postings, lengths = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths"))
-    latest = Window.partitionBy("doc_id").orderBy(F.col("batch").desc())
-    lengths = lengths.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
-    postings = postings.join(lengths.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
-    return LexicalIndex(postings.select("term", "doc_id", "field", "tf"), lengths.drop("batch"))
+    return IndexStore(spark, path).read()
