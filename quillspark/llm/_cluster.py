@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,5 +73,24 @@ def unbound_batches(spark: SparkSession, was: str | None) -> None:
         spark.conf.set(_BATCH, was)
 
 
+#: What empties this worker's caches, by operator.
+held: dict[str, Callable[[], None]] = {}
+
+
+def release() -> None:
+    """Gives back what this worker still holds of other operators' tasks.
+
+    Spark uses a worker again for the next stage's tasks, so caches and freed memory that the allocators
+    keep would count beside what the new task needs.
+    """
+    for empty in held.values():
+        empty()
+    held.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import regex
 
+from quillspark.llm._cluster import held
 from quillspark.llm._words import mix, powers, varied_ranges
 
 U64 = np.uint64
@@ -102,7 +103,7 @@ def _merger(path: str):
 class IdCache:
     """Ids by the hash of what they encode.  Emptied when it holds ``most`` entries or ``most_ids`` ids."""
 
-    def __init__(self, most: int = 1_300_000, most_ids: int = 16_000_000):
+    def __init__(self, most: int = 400_000, most_ids: int = 4_000_000):
         self.most, self.most_ids = most, most_ids
         self.clear()
 
@@ -170,7 +171,7 @@ class IdCache:
 class Encoder:
     """Ids of texts by one vocabulary file."""
 
-    def __init__(self, path: str, most: int = 1_300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -238,6 +239,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file; it goes when tasks of another operator need the memory."""
+    held["bpe"] = _encoders.clear
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

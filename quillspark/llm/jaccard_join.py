@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _ranges
-from quillspark.llm._cluster import cut, range_bits
+from quillspark.llm._cluster import cut, range_bits, release
 from quillspark.llm._words import Words, blocks, mix, starts_inside, utf8, windows
 from quillspark.llm.components import connected_components
 
@@ -90,6 +90,7 @@ def _info(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and rows of crowded tokens, in columns of their own."""
+        release()
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(2))]
             for i, j in blocks(texts, 2 << 20):
@@ -105,6 +106,7 @@ def _info(size: int):
 
 def _send(size: int, bits: int, crowded: np.ndarray, frequency: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sent: set[int] = set()
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(0))]
@@ -114,7 +116,7 @@ def _send(size: int, bits: int, crowded: np.ndarray, frequency: np.ndarray):
                 fresh[np.unique(digest, return_index=True)[1]] = True
                 fresh[fresh] = [d not in sent for d in digest[fresh].tolist()]
                 sent.update(digest[fresh].tolist())
-                if len(sent) > 1_000_000:
+                if len(sent) > 200_000:
                     sent.clear()
                 keep = fresh[doc]
                 doc, token = doc[keep], token[keep]
@@ -176,6 +178,7 @@ def _known(table: pa.Table) -> list[np.ndarray]:
 def _frequent(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Tokens of two or more different sets, with their frequency, to ranges of digests."""
+        release()
         direct = table.column("direct")
         parts = _shared(table.filter(pc.invert(direct)), int(key[0].as_py()), bits), _known(table.filter(direct))
         digest, n, token, df = (np.concatenate(x) for x in zip(*parts))
@@ -211,6 +214,7 @@ def _first(tokens: np.ndarray, take: int, seed: np.uint64) -> np.ndarray:
 
 def _prefixes(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         (digest, n), owner, (token, df) = _ranges.unpack(table.column("packed"), _OWNER, ["<u8", "<u2"])
         order = np.lexsort((token, df, digest[owner]))
         token, owner = token[order], owner[order]
@@ -237,6 +241,7 @@ _CANDIDATE_SQL = "digest long, n long, take long, prefix array<long>, second arr
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n, m = (batch.column(c).to_pylist() for c in ("n", "n_b"))
             ok = []
@@ -373,6 +378,7 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _count_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Links of the sets of one pair of blocks, or of several small components."""
+        release()
         digest, n, weight, comp, block, i, j = (table.column(k).to_numpy() for k in ("digest", "n", "weight", "comp", "block", "i", "j"))
         tokens = [np.frombuffer(t, "<u8") for t in _ranges.values(table.column("tokens"))]
         links = np.zeros(len(n), np.int64)

@@ -72,7 +72,7 @@ class Pieces:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.fromiter(map(len, raw), np.int64, n)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        self.cache = IdCache(most)
+        self.cache = IdCache(most, 16_000_000)
 
     def _best(self, start: np.ndarray, n: int, total: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, first place, key index or -1) of the best pieces of units of ``n`` characters."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import _ranges
-from quillspark.llm._cluster import range_bits, tasks, text_bytes
+from quillspark.llm._cluster import range_bits, tasks, text_bytes, release
 from quillspark.llm._words import Words, blocks, starts_inside, utf8, varied_ranges, windows
 
 U64 = np.uint64
@@ -159,6 +159,7 @@ def _hits_here(h: np.ndarray, k: np.ndarray, place: np.ndarray, block: int, know
 
 def _probe(block: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = np.empty(0, U64)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
@@ -220,6 +221,7 @@ def _later_here(h: np.ndarray, ids: np.ndarray, known: np.ndarray, least: np.nda
 
 def _extend(size: int, block: int, bits: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known, least = np.empty(0, U64), np.empty(0, np.int64)
         for batch in batches:
             c = {n: batch.column(n) for n in names}
@@ -276,6 +278,7 @@ def _later(table: pa.Table) -> pa.Table:
 
 def _remove(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = utf8(batch.column("text"))
             lists = batch.column("places")
