@@ -1,7 +1,13 @@
 """Inverted-file search: k-means cells, cell pruning, optional product quantisation, re-ranking.
 
-All distances are cosine.  Training runs on a seeded sample of documented size; every vector is
-indexed.
+All distances are cosine.  Vectors are kept as packed rows of one cell, so that a row and a packed row
+of queries are one matrix product.  A saved index has a folder for each cell; a search joins it with
+its probes, and Spark reads the probed folders only.
+
+Cells and code words are trained by mini-batches over all vectors: each round takes another chunk of
+them (all of them while they are few), tasks sum their vectors by the nearest centre, and the driver gets
+one row for each centre.  nprobe and the length of the coded shortlist are chosen when the index is
+built, by the recall of other queries, and are saved with it.
 """
 
 from __future__ import annotations
@@ -11,30 +17,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.vectors import cosine, normalised
 from quillspark.operators.vector import MOST_BROADCAST, exact_knn, matrix, unit
-from quillspark.sources.records import ranked
+from quillspark.sources.records import cut, ranked
 
 #: Parts of a cell where probes are too many to be broadcast.
 SALTS = 64
+#: Vectors or queries in a packed row at most.
+BLOCK = 2048
+#: Vectors of a chunk for each cell, and chunks at most.
+CHUNK, MOST_CHUNKS = 64, 16
+#: Cells by default at most: the driver holds their centres.
+MOST_CELLS = 16_384
 
 
 @dataclass
 class IvfIndex:
-    """cells(doc_id, vector, cell[, code]), partitioned by cell when saved; centroids; codebooks."""
+    """cells(cell, ids, vectors[, codes]) of packed vectors, centres, code words, and what was chosen for searches."""
 
     cells: DataFrame
     centroids: np.ndarray
     codebooks: np.ndarray | None = None
+    nprobe: int = 10
+    shortlist: int = 0
 
     def save(self, path: str) -> None:
         self.cells.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-        rows = [("centroid", i, 0, c.tolist()) for i, c in enumerate(self.centroids)]
+        rows = [("centroid", i, 0, c.tolist()) for i, c in enumerate(self.centroids)] + [("chosen", 0, 0, [float(self.nprobe), float(self.shortlist)])]
         if self.codebooks is not None:
             rows += [("code", i, j, c.tolist()) for i, book in enumerate(self.codebooks) for j, c in enumerate(book)]
         self.cells.sparkSession.createDataFrame(rows, "kind string, i int, j int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
@@ -45,137 +56,342 @@ class IvfIndex:
         centroids = np.array([r.vector for r in rows if r.kind == "centroid"])
         code = [r for r in rows if r.kind == "code"]
         books = np.array([[r.vector for r in code if r.i == i] for i in range(code[-1].i + 1)]) if code else None
-        return IvfIndex(spark.read.parquet(f"{path}/cells"), centroids, books)
+        nprobe, shortlist = (int(x) for x in next(r.vector for r in rows if r.kind == "chosen"))
+        schema = "ids binary, vectors binary" + ", codes binary" * (books is not None) + ", cell int"
+        return IvfIndex(spark.read.schema(schema).parquet(f"{path}/cells"), centroids, books, nprobe, shortlist)
 
 
-def _kmeans(vectors: DataFrame, k: int, seed: int, cosine_distance: bool) -> np.ndarray:
-    data = vectors.select(array_to_vector("vector").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=15, distanceMeasure="cosine" if cosine_distance else "euclidean").fit(data)
-    return np.array(model.clusterCenters())
+def _doubles(x: bytes, n: int) -> np.ndarray:
+    """``n`` vectors of a packed value, in 4 or 8 bytes a number."""
+    return np.frombuffer(x, np.float64).reshape(n, -1)
+
+
+def _longs(x) -> np.ndarray:
+    return np.frombuffer(x, "<i8")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows ids, vectors of unit vectors; those without a direction are left out."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(i, BLOCK)
+            x = unit(matrix(part.column(1)))
+            ok = ~np.isnan(x).any(1)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in (part.column(0).to_numpy(zero_copy_only=False)[ok], x[ok])], names=["ids", "vectors"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for ids, x in zip(batch.column("ids"), batch.column("vectors")):
+            own = _longs(ids.as_buffer())
+            yield own, _doubles(x.as_buffer(), len(own))
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Well spread 62-bit numbers."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x >> np.uint64(2) ^ x >> np.uint64(33)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (2 * x @ centres.T - (centres * centres).sum(1)).argmax(1)
+
+
+def _starts(share: float):
+    least = int(share * (1 << 62))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _blocks(batches):
+            h = _mixed(ids)
+            ok = h < np.uint64(least)
+            yield pa.RecordBatch.from_arrays([pa.array(h[ok].astype(np.int64)), pa.array(ids[ok]), pa.array([v.tobytes() for v in x[ok]], pa.binary())], names=["h", "id", "vector"])
+
+    return run
+
+
+def _sums(books: list[tuple[int, np.ndarray]], chunk: int, chunks: int):
+    """book, entry, n, sums of a task's vectors of one chunk; ``books`` are (first component, centres)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = [np.zeros(len(c), np.int64) for _, c in books], [np.zeros_like(c) for _, c in books]
+        for ids, x in _blocks(batches):
+            x = x[_mixed(ids) % np.uint64(chunks) == chunk]
+            for b, (at, c) in enumerate(books):
+                own = x[:, at : at + c.shape[1]]
+                entry = _nearest(own, c)
+                n[b] += np.bincount(entry, minlength=len(c))
+                np.add.at(total[b], entry, own)
+        for b, (k, s) in enumerate(zip(n, total)):
+            used = np.flatnonzero(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), b, np.int32)), pa.array(used.astype(np.int32)), pa.array(k[used]), pa.array(list(s[used]), pa.list_(pa.float64()))], names=["book", "entry", "n", "sums"])
+
+    return run
+
+
+def _train(packed: DataFrame, n: int, start: np.ndarray, m: int | None, entries: int, rounds: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Centres of the cells, on the unit sphere, and code words of ``m`` parts, trained in the same passes."""
+    dims = start.shape[1]
+    books = [(0, start.copy())]
+    if m:
+        d = dims // m
+        books += [(i * d, start[:entries, i * d : (i + 1) * d].copy()) for i in range(m)]
+    chunks = int(np.clip(n // (CHUNK * max(len(c) for _, c in books)), 1, MOST_CHUNKS))
+    seen = [np.zeros(len(c)) for _, c in books]
+    for t in range(rounds):
+        if t % chunks == 0:  # each pass over all chunks begins anew; with one chunk this is the whole mean
+            seen = [np.zeros(len(c)) for _, c in books]
+        rows = packed.mapInArrow(_sums(books, t % chunks, chunks), "book int, entry int, n long, sums array<double>")
+        sums = F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(dims)))
+        for r in rows.groupBy("book", "entry").agg(F.sum("n").alias("n"), sums.alias("sums")).collect():  # one row for each centre
+            c = books[r.book][1]
+            seen[r.book][r.entry] += r.n
+            c[r.entry] += (np.array(r.sums[: c.shape[1]]) - r.n * c[r.entry]) / seen[r.book][r.entry]
+        length = np.sqrt((books[0][1] ** 2).sum(1, keepdims=True))
+        np.divide(books[0][1], length, out=books[0][1], where=length > 0)
+    return books[0][1], np.array([c for _, c in books[1:]]) if m else None
+
+
+def _codes(x: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
+    return np.stack([_nearest(p, c) for p, c in zip(np.split(x, len(codebooks), axis=1), codebooks)], 1).astype(np.uint8)
 
 
 def _assign(centroids: np.ndarray, codebooks: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = unit(matrix(batch.column("vector")))
-            cell = (x @ unit(centroids).T).argmax(1).astype(np.int32)
-            cols = [batch.column("doc_id"), batch.column("vector"), pa.array(cell)]
+        for ids, x in _blocks(batches):
+            cols = [pa.array(_nearest(x, centroids).astype(np.int32)), pa.array(ids), pa.array([v.tobytes() for v in x], pa.binary())]
             if codebooks is not None:
-                parts = np.split(x, len(codebooks), axis=1)
-                codes = np.stack([((p * p).sum(1, keepdims=True) - 2 * p @ c.T + (c * c).sum(1)).argmin(1) for p, c in zip(parts, codebooks)], 1)
-                cols.append(pa.array([bytes(r) for r in codes.astype(np.uint8)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "vector", "cell", "code"][: len(cols)])
+                cols.append(pa.array([c.tobytes() for c in _codes(x, codebooks)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["cell", "ids", "vectors", "codes"][: len(cols)])
 
     return run
 
 
-def build_ivf(vectors: DataFrame, nlist: int | None = None, *, m: int | None = None, nbits: int = 8, seed: int = 42, most_training: int = 100_000) -> IvfIndex:
-    """An index of vectors (doc_id, vector): ``nlist`` cells (by default the root of
-    their number) and, with ``m``, codes of m bytes.
-
-    Trained on ``most_training`` vectors chosen by a hash of their id, or all if there are fewer.
-    Zero vectors are left out, as they have no direction.
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of cell, packed: one row for each run of a cell of at most BLOCK rows."""
+    for batch in batches:
+        cell = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(cell):
+            continue
+        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        cuts = sorted({c for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(cell)]) for c in range(a, b, BLOCK)})
+        spans = list(zip(cuts, [*cuts[1:], len(cell)]))
+        cols = [pa.array(cell[cuts].astype(np.int32))]
+        for c in batch.columns[1:]:
+            if pa.types.is_integer(c.type):
+                x = c.to_numpy(zero_copy_only=False).astype("<i8")
+                cols.append(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()))
+            else:
+                x = c.to_pylist()
+                cols.append(pa.array([b"".join(x[a:b]) for a, b in spans], pa.binary()))
+        yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+
+def _pack_cells(rows: DataFrame) -> DataFrame:
+    """Rows (cell, long or binary columns) as packed rows; a large cell is split, small ones share a task."""
+    kinds = ", ".join(["cell int", *(f"{f} binary" for f in rows.columns[1:])])
+    return rows.hint("rebalance", "cell").sortWithinPartitions("cell").mapInArrow(_by_cell, kinds)
+
+
+def build_ivf(vectors: DataFrame, nlist: int | None = None, *, m: int | None = None, nbits: int = 8, rounds: int = 16, tuning: DataFrame | None = None, k: int = 10, recall: float = 0.95, most_tuning: int = 256) -> IvfIndex:
+    """An index of vectors (doc_id, vector): ``nlist`` cells (by default the root of their number) and,
+    with ``m``, codes of m bytes.
+
+    Every vector is indexed but zero vectors, which have no direction.  Centres start as the vectors
+    with the least hashes of their id.  nprobe, and with ``m`` the shortlist, are the least that find the share
+    ``recall`` of the exact neighbours, themselves left out, of at most about ``most_tuning`` rows of
+    ``tuning`` (query_id, vector; by default of the vectors).
     """
+    spark = vectors.sparkSession
     held = vectors.where("vector IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
-    held = held.where(F.exists("vector", lambda x: x != 0))
-    n = held.count()
-    nlist = nlist or max(1, round(n**0.5))
-    share = min(1.0, most_training / max(n, 1))
-    sample = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(normalised(F.col("vector")).alias("vector")).cache()
-    centroids = _kmeans(sample, nlist, seed, True)
-    books = None
-    if m:
-        dims = centroids.shape[1]
-        if dims % m:
-            raise ValueError(f"{dims} dimensions can't be cut into {m} equal parts")
-        d = dims // m
-        books = [_kmeans(sample.select(F.slice("vector", i * d + 1, d).alias("vector")), 1 << nbits, seed + i, False) for i in range(m)]
-        books = np.array([np.vstack([b, np.full(((1 << nbits) - len(b), d), 1e9)]) for b in books])  # k-means may find fewer
-    sample.unpersist()
-    schema = "doc_id long, vector array<double>, cell int" + ", code binary" * bool(m)
-    return IvfIndex(held.mapInArrow(_assign(centroids, books), schema), centroids, books)
+    packed = cut(held.mapInArrow(_packed, "ids binary, vectors binary"))
+    n = packed.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 8
+    if not n:
+        return IvfIndex(spark.createDataFrame([], "cell int, ids binary, vectors binary" + ", codes binary" * bool(m)), np.zeros((0, 0)), np.zeros((m, 1, 1)) if m else None, 1, k)
+    nlist = min(nlist or min(max(1, round(n**0.5)), MOST_CELLS), n)
+    wanted = max(nlist, (1 << nbits) if m else 0)
+    some = packed.mapInArrow(_starts(min(1.0, (wanted + 6 * wanted**0.5 + 10) / n)), "h long, id long, vector binary")
+    start = np.array([np.frombuffer(r.vector) for r in some.orderBy("h", "id").limit(wanted).collect()])
+    if m and start.shape[1] % m:
+        raise ValueError(f"{start.shape[1]} dimensions can't be cut into {m} equal parts")
+    centroids, books = _train(packed, n, start[:nlist], m, 1 << nbits, rounds) if not m or nlist >= 1 << nbits else _train_apart(packed, n, start, nlist, m, 1 << nbits, rounds)
+    rows = packed.mapInArrow(_assign(centroids, books), "cell int, ids long, vectors binary" + ", codes binary" * bool(m))
+    index = IvfIndex(cut(_pack_cells(rows)), centroids, books)
+    asked = _some(tuning if tuning is not None else vectors.withColumnRenamed("doc_id", "query_id"), most_tuning)
+    index.nprobe, index.shortlist = _choose(index, vectors, cut(asked), k, recall)
+    return index
+
+
+def _train_apart(packed: DataFrame, n: int, start: np.ndarray, nlist: int, m: int, entries: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells, and then codes, where there are fewer cells than code words to start from."""
+    return _train(packed, n, start[:nlist], None, 0, rounds)[0], _train(packed, n, start[:entries], m, entries, rounds)[1]
+
 
+def _some(queries: DataFrame, most: int) -> DataFrame:
+    """At most about ``most`` queries with a vector, by a hash of their id."""
+    held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    share = min(1.0, most / max(held.count(), 1))
+    return held.where(F.shiftrightunsigned(F.xxhash64("query_id"), 2) < int(share * (1 << 62))) if share < 1 else held
+
+
+def _counted_above(codebooks: np.ndarray, asked: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """query_id, place, n: coded scores of a task above each of a query's own (``asked``: vector, scores)."""
 
-def _probes(centroids: np.ndarray, nprobe: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = {q: np.zeros(len(s), np.int64) for q, (_, s) in asked.items()}
         for batch in batches:
-            best = np.argsort(-(unit(matrix(batch.column("asked"))) @ unit(centroids).T), axis=1, kind="stable")[:, :nprobe]
-            row = np.repeat(np.arange(batch.num_rows), best.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("asked").take(pa.array(row)), pa.array(best.ravel().astype(np.int32))], names=["query_id", "asked", "cell"])
+            for ids, codes, queries in zip(*(batch.column(c) for c in ("ids", "codes", "asked_ids"))):
+                own, code = _longs(ids.as_buffer()), np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, len(codebooks))
+                for q in _longs(queries.as_buffer()).tolist():
+                    x, s = asked[q]
+                    scores = np.sort(_coded_scores(x[None], code, codebooks)[0][own != q])
+                    above[q] += len(scores) - np.searchsorted(scores, s, "right")
+        rows = [(q, i, int(n)) for q, a in above.items() for i, n in enumerate(a)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, names=["query_id", "place", "n"])
 
     return run
 
 
-def _coded(codebooks: np.ndarray):
+def _choose(index: IvfIndex, vectors: DataFrame, asked: DataFrame, k: int, recall: float) -> tuple[int, int]:
+    """nprobe and shortlist (k without codes).  Collected are the queries and their neighbours: at most about 256 and k each."""
+    queries = {r.query_id: unit(np.array([r.vector]))[0] for r in asked.collect()}
+    truth = cut(exact_knn(vectors, asked, k, skip_self=True).select("query_id", "doc_id"))
+    near = {r.doc_id for r in truth.collect()}
+    if not near:
+        return len(index.centroids), k
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.array(sorted(near))
+        for batch in batches:
+            codes = batch.column("codes") if "codes" in batch.schema.names else [None] * batch.num_rows
+            for cell, ids, code in zip(batch.column("cell").to_pylist(), batch.column("ids"), codes):
+                own = _longs(ids.as_buffer())
+                at = np.flatnonzero(np.isin(own, wanted))
+                c = [None] * len(at) if code is None else [x.tobytes() for x in np.frombuffer(code.as_buffer(), np.uint8).reshape(len(own), -1)[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(np.full(len(at), cell, np.int32)), pa.array(c, pa.binary())], names=["doc_id", "cell", "code"])
+
+    rows = truth.join(index.cells.mapInArrow(found, "doc_id long, cell int, code binary"), "doc_id").collect()
+    order = {q: np.argsort(-(x @ index.centroids.T), kind="stable") for q, x in queries.items()}
+    place = sorted(int(np.flatnonzero(order[r.query_id] == r.cell)[0]) for r in rows)
+    nprobe = place[int(np.ceil(recall * len(place))) - 1] + 1
+    if index.codebooks is None:
+        return nprobe, k
+    own: dict[int, list[bytes]] = {}
+    for r in rows:
+        if np.flatnonzero(order[r.query_id] == r.cell)[0] < nprobe:
+            own.setdefault(r.query_id, []).append(r.code)
+    scores = {q: (queries[q], _coded_scores(queries[q][None], np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1), index.codebooks)[0]) for q, c in own.items()}
+    met = _met(index.cells.select("cell", "ids", "codes"), _probes(asked.where(F.col("query_id").isin(list(own))), index.centroids, nprobe))
+    ranks = met.mapInArrow(_counted_above(index.codebooks, scores), "query_id long, place long, n long").groupBy("query_id", "place").agg(F.sum("n").alias("n"))
+    n = sorted(r.n for r in ranks.collect())
+    if not n:
+        return nprobe, k
+    # recall is over all neighbours, of which the cells have some share already
+    return nprobe, max(k, n[min(len(n), int(np.ceil((recall - 0.03) * len(place)))) - 1] + 1)
+
+
+def _probe(centroids: np.ndarray, nprobe: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(codebooks)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(matrix(batch.column("asked")))
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, m)
-            parts = np.split(x, m, axis=1)
-            score = sum((p * c[codes[:, i]]).sum(1) for i, (p, c) in enumerate(zip(parts, codebooks)))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("doc_id"), pa.array(np.round(score, 6))], names=["query_id", "doc_id", "score"])
+            x = unit(matrix(batch.column("vector")))
+            ok = ~np.isnan(x).any(1)
+            ids, x = batch.column("query_id").to_numpy(zero_copy_only=False)[ok], x[ok]
+            best = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :nprobe] if len(x) else np.empty((0, 1), int)
+            row = np.repeat(np.arange(len(ids)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(ids[row]), pa.array([x[i].tobytes() for i in row], pa.binary())], names=["cell", "asked_ids", "asked"])
 
     return run
 
 
-def choose_nprobe(index: IvfIndex, queries: DataFrame, k: int = 10, recall: float = 0.95, skip_self: bool = False, most_queries: int = 256) -> int:
-    """The least nprobe whose cells hold the share ``recall`` of exact neighbours, on at most about
-    ``most_queries`` queries."""
-    asked = _some(queries, most_queries)
-    truth = exact_knn(index.cells, asked, k, skip_self).select("query_id", "doc_id")
-    got = truth.join(index.cells.select("doc_id", "cell"), "doc_id").join(asked.select("query_id", "vector"), "query_id").select("cell", F.col("vector").cast("array<double>").alias("vector")).toArrow()
-    if not got.num_rows:
-        return len(index.centroids)
-    order = np.argsort(-(unit(matrix(got.column("vector").combine_chunks())) @ unit(index.centroids).T), axis=1, kind="stable")
-    place = np.sort((order == got.column("cell").to_numpy()[:, None]).argmax(1))
-    return int(place[int(np.ceil(recall * len(place))) - 1]) + 1
+def _probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
+    """cell, asked_ids, asked: the queries' packed unit vectors by the ``nprobe`` nearest cells of each."""
+    return _pack_cells(queries.select("query_id", "vector").mapInArrow(_probe(centroids, nprobe), "cell int, asked_ids long, asked binary"))
 
 
-def choose_shortlist(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 10, recall: float = 0.92, skip_self: bool = False, most_queries: int = 256) -> int:
-    """The least shortlist of coded scores that holds the share ``recall`` of exact neighbours."""
-    asked = _some(queries, most_queries)
-    truth = exact_knn(index.cells, asked, k, skip_self).select("query_id", "doc_id")
-    coded = ivf_search(index, asked, 1 << 30, nprobe, skip_self, coded=True).select("query_id", "doc_id", "rank")
-    ranks = sorted(r[0] for r in truth.join(coded, ["query_id", "doc_id"]).select("rank").collect())  # k * most_queries at most
-    wanted = int(np.ceil(recall * truth.count()))
-    return max(k, ranks[min(wanted, len(ranks)) - 1]) if ranks else k
+def _met(cells: DataFrame, probes: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """Packed rows of cells with the packed rows that ask for them.
 
+    Up to ``most_bytes`` the latter are broadcast, so vectors aren't shuffled and only the folders of probed
+    cells are read; beyond, each cell is parted by salts that all its probes have.
+    """
+    probes = cut(probes)
+    size = probes.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(c) for c in probes.columns[1:])).first()
+    if sum(size) <= most_bytes:
+        return cells.join(F.broadcast(probes.where("cell >= 0")), "cell")  # always true; Spark prunes by a side that has a filter only
+    probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return cells.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).join(probes, ["cell", "salt"]).drop("salt")
+
+
+def _coded_scores(asked: np.ndarray, codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
+    """Products of query parts and code words, summed."""
+    return sum((p @ c.T)[:, codes[:, i]] for i, (p, c) in enumerate(zip(np.split(asked, len(codebooks), axis=1), codebooks)))
+
+
+def _best(k: int, skip_self: bool, codebooks: np.ndarray | None):
+    """cell, query_id, doc_id, score: the best ``k`` of each packed row for each query that asks for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("vectors" if codebooks is None else "codes")
+            for cell, ids, x, queries, asked in zip(batch.column("cell").to_pylist(), batch.column("ids"), held, batch.column("asked_ids"), batch.column("asked")):
+                own, q = _longs(ids.as_buffer()), _longs(queries.as_buffer())
+                a = _doubles(asked.as_buffer(), len(q))
+                s = a @ _doubles(x.as_buffer(), len(own)).T if codebooks is None else _coded_scores(a, np.frombuffer(x.as_buffer(), np.uint8).reshape(len(own), -1), codebooks)
+                s = np.round(s, 6)
+                if skip_self:
+                    s[q[:, None] == own[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+                r, col = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
+                ok = np.isfinite(s[r, col])
+                r, col = r[ok], col[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), cell, np.int32)), pa.array(q[r]), pa.array(own[col]), pa.array(s[r, col])], names=["cell", "query_id", "doc_id", "score"])
+
+    return run
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, doc_id, score of the packed pairs whose vector a packed row of the cell has."""
+    for batch in batches:
+        for ids, x, queries, docs, asked in zip(*(batch.column(c) for c in ("ids", "vectors", "asked_ids", "doc_ids", "asked"))):
+            own, q, d = (_longs(c.as_buffer()) for c in (ids, queries, docs))
+            order = np.argsort(own, kind="stable")
+            at = np.minimum(np.searchsorted(own[order], d), len(own) - 1)
+            ok = own[order][at] == d
+            score = (_doubles(asked.as_buffer(), len(q))[ok] * _doubles(x.as_buffer(), len(own))[order][at[ok]]).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(d[ok]), pa.array(np.round(score, 6))], names=["query_id", "doc_id", "score"])
 
-def _some(queries: DataFrame, most: int) -> DataFrame:
-    share = min(1.0, most / max(queries.count(), 1))
-    return queries.where(F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
+def _unit_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = unit(matrix(batch.column("vector")))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array([v.tobytes() for v in x], pa.binary())], names=["query_id", "asked"])
 
-def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 10, skip_self: bool = False, coded: bool = False, shortlist: int = 0) -> DataFrame:
-    """query_id, rank, doc_id, score from the ``nprobe`` nearest cells of each query.
 
-    Probes are broadcast up to MOST_BROADCAST bytes, so the vectors are not shuffled.
+def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int | None = None, skip_self: bool = False, coded: bool = False, shortlist: int | None = None, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """query_id, rank, doc_id, score from the ``nprobe`` nearest cells of each query (by default those chosen at build).
 
-    Scores are exact cosines, or with ``coded`` the products of query parts and code words.  With
-    ``shortlist`` so many of the best coded ones of each query are ranked again by exact cosine.
+    Scores are exact cosines.  With ``coded``, codes choose a ``shortlist`` for each query (by default as
+    chosen at build), and only those vectors are read and ranked by exact cosine; a shortlist of 0 leaves it
+    at the products of query parts and code words.
     """
-    held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("asked"))
-    asked = held.mapInArrow(_probes(index.centroids, min(nprobe, len(index.centroids))), "query_id long, asked array<double>, cell int")
-    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("asked")), F.lit(0)).alias("numbers")).first()
-    if (size.n + size.numbers) * 8 * nprobe <= MOST_BROADCAST:
-        found = index.cells.join(F.broadcast(asked), "cell")
-    else:  # there are few cells, so each is parted by salts that all its probes have
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        probes = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        found = index.cells.withColumn("salt", salt).join(probes, ["cell", "salt"])
-    if skip_self:
-        found = found.where("query_id <> doc_id")
-    if coded:
-        if index.codebooks is None:
-            raise ValueError("the index has no codes")
-        scores = found.select("query_id", "doc_id", "asked", "code").mapInArrow(_coded(index.codebooks), "query_id long, doc_id long, score double")
-        if shortlist:
-            best = ranked(scores.where("score IS NOT NULL"), max(k, shortlist)).select("query_id", "doc_id")
-            again = best.join(index.cells.select("doc_id", "vector"), "doc_id").join(held, "query_id")
-            scores = again.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
-    else:
-        scores = found.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("asked")), 6).alias("score"))
-    return ranked(scores.where("score IS NOT NULL"), k)
+    if coded and index.codebooks is None:
+        raise ValueError("the index has no codes")
+    if not len(index.centroids):
+        return queries.sparkSession.createDataFrame([], "query_id long, rank long, doc_id long, score double")
+    held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    probes = _probes(held, index.centroids, min(nprobe or index.nprobe, len(index.centroids)))
+    shortlist = index.shortlist if shortlist is None else shortlist
+    kinds = "cell int, query_id long, doc_id long, score double"
+    if not coded:
+        return ranked(_met(index.cells.select("cell", "ids", "vectors"), probes, most_bytes).mapInArrow(_best(k, skip_self, None), kinds), k)
+    most = max(k, shortlist)
+    scores = _met(index.cells.select("cell", "ids", "codes"), probes, most_bytes).mapInArrow(_best(most, skip_self, index.codebooks), kinds)
+    if not shortlist:
+        return ranked(scores, k)
+    best = ranked(scores.select("query_id", F.struct("doc_id", "cell").alias("doc_id"), "score"), most)
+    asked = held.mapInArrow(_unit_bytes, "query_id long, asked binary")
+    pairs = best.select("query_id", "doc_id.doc_id", "doc_id.cell").join(asked, "query_id")
+    wanted = _pack_cells(pairs.select("cell", F.col("query_id").alias("asked_ids"), F.col("doc_id").alias("doc_ids"), "asked"))
+    return ranked(_met(index.cells.select("cell", "ids", "vectors"), wanted, most_bytes).mapInArrow(_exact, "query_id long, doc_id long, score double"), k)

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import band_keys, cosine
 from quillspark.operators.vector import signatures
-from quillspark.sources.records import ranked
+from quillspark.sources.records import cut, ranked
+
+#: Rows of queries' bands, or of crowded buckets, that are broadcast at most.
+MOST_ASKED = 500_000
+#: Rows of a bucket that one task joins at most.
+CROWD = 10_000
 
 
 def band_table(signed: DataFrame, bits: int, bands: int, key: str = "doc_id") -> DataFrame:
@@ -26,14 +31,36 @@ def band_tables(signed: DataFrame, settings: Sequence[tuple[int, int]], key: str
 
 
 def candidate_groups(table: DataFrame) -> DataFrame:
-    """members: the distinct id lists of buckets with more than one."""
-    groups = table.groupBy("band", "bucket").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("members"), F.count("*").alias("n"))
-    return groups.where("n > 1").select("members").distinct()
+    """band, bucket, doc_id: the members of the distinct groups of more than one that share a bucket.
+
+    A group is named by the first of the buckets that have just its members.  Groups are told apart by
+    their size and two 64-bit digests of their members, so no bucket is collected.
+    """
+    digests = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"))
+    groups = table.groupBy("band", "bucket").agg(*digests).where("n > 1")
+    first = groups.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.*")
+    return table.join(first, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id")
+
+
+def salted_join(table: DataFrame, asked: DataFrame, keys: Sequence[str], crowd: int = CROWD) -> DataFrame:
+    """The equi-join of ``table`` and ``asked`` on ``keys``, with the buckets of ``table`` above ``crowd`` rows parted.
+
+    Up to MOST_ASKED rows of ``asked`` are broadcast, so the table isn't shuffled.  Beyond, a bucket of n
+    rows gets n / ``crowd`` salts by the hash of its rows' doc_id, and what asks for it is repeated for each.
+    """
+    if asked.count() <= MOST_ASKED:
+        return table.join(F.broadcast(asked), list(keys))
+    crowded = cut(table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*keys, F.ceil(F.col("n") / F.lit(crowd)).cast("int").alias("salts")))
+    small = crowded.count() <= MOST_ASKED
+    known = lambda t: t.join(F.broadcast(crowded) if small else crowded, list(keys), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    held = known(table).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
+    spread = known(asked).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    return held.join(spread, [*keys, "salt"]).drop("salt")
 
 
 def candidates(table: DataFrame, query_table: DataFrame) -> DataFrame:
     """query_id, doc_id: pairs that share a bucket of a band, each once."""
-    return table.join(query_table, ["band", "bucket"]).select("query_id", "doc_id").distinct()
+    return salted_join(table, query_table, ["band", "bucket"]).select("query_id", "doc_id").distinct()
 
 
 @dataclass

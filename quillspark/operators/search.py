@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.functions.stopwords import DEFAULT
 from quillspark.operators import fusion, ivf, lexical, lsh
 from quillspark.operators.vector import exact_knn
-from quillspark.sources.records import report
+from quillspark.sources.records import cut, report
 
 #: Takes a list of texts and gives a list of vectors.
 Encoder = Callable[[list[str]], list[list[float]]]
@@ -29,7 +31,34 @@ def embed(texts: DataFrame, load: Callable[[], Encoder], batch: int = 256) -> Da
     return texts.select("doc_id", F.pandas_udf(run, "array<float>")("text").alias("vector"))
 
 
-def semantic_search(method: str, queries: DataFrame, k: int = 10, *, vectors: DataFrame | None = None, index: ivf.IvfIndex | None = None, planes=None, bands: int = 10, nprobe: int = 10) -> DataFrame:
+def embed_terms(terms: DataFrame, dims: int = 64) -> DataFrame:
+    """doc_id, vector of terms (doc_id, term, tf): a signed random projection of hashed terms.
+
+    Each term adds its weight, the number of binary digits of tf, with a sign by dimension that comes
+    from the bits of its MD5 digest; so ``dims`` is 128 at most.  All of it is compiled sums of whole
+    numbers, equal on any number of tasks.  Texts that share terms point the same way.
+    """
+    if not 0 < dims <= 128:
+        raise ValueError("a digest has signs for 1 to 128 dimensions")
+    words = [F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("long") for i in range(-(-dims // 32))]
+    rows = terms.select("doc_id", F.length(F.bin("tf")).alias("w"), F.md5("term").alias("d")).select("doc_id", "w", *(x.alias(f"h{i}") for i, x in enumerate(words)))
+    sums = [F.sum(F.when(F.shiftright(f"h{j // 32}", j % 32).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"v{j}") for j in range(dims)]
+    return rows.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*(F.col(f"v{j}").cast("float") for j in range(dims))).alias("vector"))
+
+
+def embed_texts(texts: DataFrame, stop_words: Sequence[str] = DEFAULT, dims: int = 64) -> DataFrame:
+    """doc_id, vector of texts (doc_id, text) by ``embed_terms``; texts without terms have none."""
+    rows = texts.select("doc_id", F.explode(T.words(F.col("text"), stop_words)).alias("word"))
+    return embed_terms(rows.groupBy("doc_id", T.stem(F.col("word")).alias("term")).agg(F.count("*").alias("tf")), dims)
+
+
+def semantic_text_search(method: str, queries: DataFrame, k: int = 10, stop_words: Sequence[str] = DEFAULT, dims: int = 64, **options) -> DataFrame:
+    """``semantic_search`` of queries (query_id, text), which ``embed_texts`` makes vectors of."""
+    asked = embed_texts(queries.select(F.col("query_id").alias("doc_id"), "text"), stop_words, dims).withColumnRenamed("doc_id", "query_id")
+    return semantic_search(method, cut(asked), k, **options)
+
+
+def semantic_search(method: str, queries: DataFrame, k: int = 10, *, vectors: DataFrame | None = None, index: ivf.IvfIndex | None = None, planes=None, bands: int = 10, nprobe: int | None = None) -> DataFrame:
     """query_id, rank, doc_id, score by ``exact``, ``ivf`` or ``lsh``; other methods are refused."""
     method = method.lower()
     if method == "exact":
@@ -52,4 +81,4 @@ def hybrid_search(semantic: DataFrame, words: DataFrame, names: DataFrame, k: in
     return fused.join(names, "doc_id", "left").select("query_id", "rank", "doc_id", "score", F.coalesce("title", F.lit("Title not found.")).alias("title"))
 
 
-__all__ = ["embed", "hybrid_search", "lexical_search", "report", "semantic_search"]
+__all__ = ["embed", "embed_terms", "embed_texts", "hybrid_search", "lexical_search", "report", "semantic_search", "semantic_text_search"]

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine, hyperplanes
-from quillspark.operators import evaluate, fusion, ivf, lexical, lsh, search, store
+from quillspark.operators import evaluate, fusion, ivf, lexical, lsh, minhash, search, store, vocabulary as vocab
 from quillspark.operators.vector import exact_knn, signatures
 from quillspark.sources import records
 
 BITS, BANDS, DIMS = 64, 16, 64
+#: Of searches: more bands of as many bits find more neighbours.
+SEARCH_BITS, SEARCH_BANDS = 96, 24
 K1 = (0.5, 1.0, 1.5, 2.0)
 
 
@@ -55,14 +57,27 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(found)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> store.StoredIndex:
-    """The index of the corpus, built once in an application and then read from where it is saved."""
-    key = (spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/documents.parquet"))
+def _once(spark: SparkSession, table: str, kind: str, write: Callable[[str], None]) -> str:
+    """Where an index of a table is saved, which ``write`` does once in an application."""
+    key = (kind, spark.sparkContext.applicationId, _state(spark, table))
     if key not in _saved:
-        path = f"{records.shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
-        store.IndexStore(spark, path).append(_corpus(spark, sf_dir))
+        path = f"{records.shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        write(path)
         _saved[key] = path
-    return store.load(spark, _saved[key])
+    return _saved[key]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> store.StoredIndex:
+    """The lexical index of the corpus."""
+    return store.load(spark, _once(spark, f"{sf_dir}/documents.parquet", "lexical", lambda path: store.IndexStore(spark, path).append(_corpus(spark, sf_dir))))
+
+
+def _ivf(spark: SparkSession, sf_dir: str, m: int | None = None) -> ivf.IvfIndex:
+    """The cells of the vectors, tuned on vectors that are not asked for."""
+    vectors = _vectors(spark, sf_dir)
+    tuning = vectors.where("doc_id % 100 <> 0").withColumnRenamed("doc_id", "query_id")
+    path = _once(spark, f"{sf_dir}/embeddings.parquet", f"ivf{m or ''}", lambda path: ivf.build_ivf(vectors, m=m, nbits=6, tuning=tuning).save(path))
+    return ivf.IvfIndex.load(spark, path)
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +200,7 @@ def lsh_candidate_groups(spark, sf_dir):
 
 
 def lsh_search(spark, sf_dir):
-    return lsh.lsh_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), hyperplanes(BITS, DIMS), BANDS)
+    return lsh.lsh_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), hyperplanes(SEARCH_BITS, DIMS), SEARCH_BANDS)
 
 
 def _grid(spark, sf_dir):
@@ -217,19 +232,82 @@ def shingle_counts(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.size(T.shingles(T.clean(F.col("text")), 8)).cast("long").alias("n_shingles"))
 
 
+def minhash_signatures(spark, sf_dir):
+    """100 minima for each distinct text of a document, of its shingles of 8 characters."""
+    docs = _documents(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("clean"))
+    return minhash.signatures(docs, "doc_id").select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+def near_duplicate_classes(spark, sf_dir):
+    """The class of each document by shingles of 8 characters, 20 bands of 5 minima, and similarity 0.75."""
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def minhash_agreement(spark, sf_dir):
+    """Each near duplicate with the first document of its class: exact similarity, and the signatures' estimate."""
+    classes = near_duplicate_classes(spark, sf_dir).where("doc_id <> class_id")
+    return minhash.compare(_documents(spark, sf_dir), classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
+
+
+def vocabulary(spark, sf_dir):
+    return vocab.vocabulary(_index(spark, sf_dir).term_stats())
+
+
+def one_hot_rows(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    rows = index.postings.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))  # a document's own terms
+    hot = vocab.one_hot(index.lengths.join(rows, "doc_id", "left"), vocab.vocabulary(index.term_stats()))
+    return hot.select("doc_id", "size", F.size("indices").cast("long").alias("n"), F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
+
+
 def ivf_search(spark, sf_dir):
-    index, asked = ivf.build_ivf(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir)
-    return ivf.ivf_search(index, asked, nprobe=ivf.choose_nprobe(index, asked))
+    return ivf.ivf_search(_ivf(spark, sf_dir), _vector_queries(spark, sf_dir))
 
 
 def ivf_pq_search(spark, sf_dir):
-    index, asked = ivf.build_ivf(_vectors(spark, sf_dir), m=8, nbits=6), _vector_queries(spark, sf_dir)
-    nprobe = ivf.choose_nprobe(index, asked)
-    return ivf.ivf_search(index, asked, nprobe=nprobe, coded=True, shortlist=ivf.choose_shortlist(index, asked, nprobe=nprobe))
+    return ivf.ivf_search(_ivf(spark, sf_dir, 8), _vector_queries(spark, sf_dir), coded=True)
+
+
+def text_embeddings(spark, sf_dir):
+    """Vectors of the documents' own terms, as text."""
+    v = search.embed_terms(_terms(spark, sf_dir), DIMS)
+    return v.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, term, tf over both fields."""
+    return _index(spark, sf_dir).postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+
+
+def _text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _once(spark, f"{sf_dir}/documents.parquet", "vectors", lambda path: search.embed_terms(_terms(spark, sf_dir), DIMS).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def semantic_text_exact(spark, sf_dir):
+    return search.semantic_text_search("exact", _queries(spark, sf_dir), vectors=_text_vectors(spark, sf_dir))
+
+
+def semantic_text_ivf(spark, sf_dir):
+    vectors = _text_vectors(spark, sf_dir)
+    path = _once(spark, f"{sf_dir}/documents.parquet", "textivf", lambda path: ivf.build_ivf(vectors, tuning=_text_tuning(spark, sf_dir)).save(path))
+    return search.semantic_text_search("ivf", _queries(spark, sf_dir), index=ivf.IvfIndex.load(spark, path))
+
+
+def _text_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that are not asked for, as vectors."""
+    titles = _corpus(spark, sf_dir).where("id % 100 <> 0").select(F.col("id").alias("doc_id"), F.col("title").alias("text"))
+    return search.embed_texts(titles, dims=DIMS).withColumnRenamed("doc_id", "query_id")
+
+
+def semantic_text_lsh(spark, sf_dir):
+    """Titles lie at wide angles to their documents, so bands are short."""
+    return search.semantic_text_search("lsh", _queries(spark, sf_dir), vectors=_text_vectors(spark, sf_dir), planes=hyperplanes(SEARCH_BITS, DIMS), bands=SEARCH_BITS // 3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [sanitize, embedding_texts, tokenize, stem_vocab, term_frequencies, doc_lengths, term_stats, index_stats, bm25_top10, bm25_top100, bm25_grid_recall, bm25_grid_pivot, titles, truth_query_texts, prefix_sample]
     own += [exact_knn_top10, cosine_pairs, rrf_fusion, hybrid_search, report_lines, lsh_signatures, lsh_bands, lsh_candidate_groups, lsh_search, lsh_grid]
-    own += [recall_pivot, pareto_frontier, lsh_s_curve, candidate_histogram, shingle_counts, ivf_search, ivf_pq_search]
+    own += [recall_pivot, pareto_frontier, lsh_s_curve, candidate_histogram, shingle_counts, minhash_signatures, near_duplicate_classes, minhash_agreement, vocabulary, one_hot_rows, ivf_search, ivf_pq_search]
+    own += [text_embeddings, semantic_text_exact, semantic_text_ivf, semantic_text_lsh]
     return {f.__name__: f for f in own}

@@ -6,7 +6,8 @@ from quillspark.functions.stopwords import DEFAULT
 from quillspark.functions.text import NOT_WORD, WHITE
 from quillspark.functions.vectors import hyperplanes
 from quillspark.operators.lexical import WEIGHTS
-from quillspark.plans.queries import BANDS, BITS, DIMS, K1
+from quillspark.operators.minhash import PRIME, Permutations
+from quillspark.plans.queries import BANDS, BITS, DIMS, K1, SEARCH_BANDS, SEARCH_BITS
 
 _CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{WHITE}', ' ', 'g'))"
 _CORPUS = f"""
@@ -85,6 +86,7 @@ def _banded(n: str, b: str) -> str:
 
 
 _BAND = f"{_signed(BITS)},\nbands AS ({_banded(str(BITS), str(BANDS))})"
+_SEARCH_BAND = f"{_signed(SEARCH_BITS)},\nbands AS ({_banded(str(SEARCH_BITS), str(SEARCH_BANDS))})"
 _GRID = f"""{_signed(256)},{_knn(10, False)},
 bands AS ({" UNION ALL ".join(_banded(str(n), str(b)) for n in (64, 128, 256) for b in (4, 8, 16, 32))}),
 cand AS (SELECT DISTINCT num_bits, b, q.doc_id AS query_id, d.doc_id FROM bands q JOIN bands d USING (num_bits, b, band, bucket) WHERE q.doc_id % 100 = 0),
@@ -113,6 +115,40 @@ hits AS (SELECT k1, b, query_id, count(*) AS h FROM best JOIN knn USING (query_i
 truth AS (SELECT query_id, count(*) AS n FROM knn GROUP BY 1)"""
 
 
+def _signed_texts() -> str:
+    """The minima of each document of eight characters or more, as a list."""
+    weights, factors, shifts = Permutations().numbers()
+    h = " + ".join(f"cp[i + {j}] * {w}" for j, w in enumerate(weights))
+    minima = ", ".join(f"min((h * {a} + {b}) % {PRIME})" for a, b in zip(factors, shifts))
+    return f"""
+c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),
+cp AS (SELECT doc_id, list_transform(string_split(t, ''), lambda x: unicode(x)::BIGINT) AS cp FROM c WHERE length(t) >= 8),
+hs AS (SELECT doc_id, ({h}) % {PRIME} AS h FROM cp, unnest(range(1, len(cp) - 6)) u(i)),
+signed AS (SELECT doc_id, [{minima}] AS m FROM hs GROUP BY doc_id)"""
+
+
+#: All pairs of distinct texts by their shared shingles, and what they reach.
+_NEAR = """
+sh AS (SELECT DISTINCT doc_id, substr(t, i, 8) AS g FROM (SELECT min(doc_id) AS doc_id, t FROM c WHERE length(t) >= 8 GROUP BY t), unnest(range(1, length(t) - 6)) u(i)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sz UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id),
+named AS (SELECT c.doc_id, coalesce(r.root, c.doc_id) AS class_id FROM c LEFT JOIN (SELECT t, min(doc_id) AS first FROM c WHERE length(t) >= 8 GROUP BY t) f ON f.t = c.t LEFT JOIN roots r ON r.doc_id = f.first),
+classes AS (SELECT doc_id, class_id, (count(*) OVER (PARTITION BY class_id))::BIGINT AS n_class FROM named)"""
+
+
+def _embedded(table: str, key: str, name: str = "v") -> str:
+    """Signed sums of the terms' weights; signs are the bits of the four 32-bit words of MD5."""
+    sums = ", ".join(f"sum(CASE WHEN (h{j // 32} >> {j % 32}) & 1 = 1 THEN w ELSE -w END)::DOUBLE" for j in range(DIMS))
+    words = ", ".join(f"('0x' || substr(md5(term), {1 + 8 * i}, 8))::BIGINT AS h{i}" for i in range(-(-DIMS // 32)))
+    return f"""
+{name}_t AS (SELECT {key}, term, length(bin(sum(tf)::BIGINT)) AS w FROM {table} GROUP BY 1, 2),
+{name}_h AS (SELECT {key}, w, {words} FROM {name}_t),
+{name} AS (SELECT {key}, [{sums}] AS x FROM {name}_h GROUP BY {key})"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     return {
@@ -141,8 +177,10 @@ SELECT b, {', '.join(f'max(recall) FILTER (WHERE k1 = {k}) AS k1_{str(k).replace
         "report_lines": f"{w}{_CORPUS},{_V},{_knn(10, False)} SELECT query_id, rank, printf('%d. [Score: %.4f] %s (ID: %s)', rank, score, coalesce(title, 'Title not found.'), k.doc_id::VARCHAR) AS line FROM knn k LEFT JOIN corpus c ON c.doc_id = k.doc_id",
         "lsh_signatures": f"{w}{_signed(BITS)} SELECT doc_id, s AS signature FROM signed",
         "lsh_bands": f"{w}{_BAND} SELECT doc_id, band::INT AS band, bucket FROM bands",
-        "lsh_candidate_groups": f"{w}{_BAND} SELECT DISTINCT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM bands GROUP BY band, bucket HAVING count(*) > 1",
-        "lsh_search": f"""{w}{_BAND}, c AS (SELECT DISTINCT q.doc_id AS query_id, d.doc_id FROM bands q JOIN bands d USING (band, bucket) WHERE q.doc_id % 100 = 0),
+        "lsh_candidate_groups": f"""{w}{_BAND}, g AS (SELECT band, bucket, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM bands GROUP BY band, bucket HAVING count(*) > 1),
+f AS (SELECT members, min({{'band': band, 'bucket': bucket}}) AS first FROM g GROUP BY members)
+SELECT b.band::INT AS band, b.bucket, doc_id FROM bands b JOIN f ON f.first.band = b.band AND f.first.bucket = b.bucket""",
+        "lsh_search": f"""{w}{_SEARCH_BAND}, c AS (SELECT DISTINCT q.doc_id AS query_id, d.doc_id FROM bands q JOIN bands d USING (band, bucket) WHERE q.doc_id % 100 = 0),
 s AS (SELECT query_id, c.doc_id, round({_COS.format(a="q.x", b="d.x")}, 6) AS score FROM c JOIN v q ON q.doc_id = query_id JOIN v d ON d.doc_id = c.doc_id)
 SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
         "lsh_grid": f"{w}{_GRID} SELECT * FROM summary",
@@ -152,5 +190,23 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
         "lsh_s_curve": "SELECT round(i / 499, 6) AS s, round(1 - pow(1 - pow(i / 499, 4), 16), 6) AS p_linear, round(1 - pow(1 - pow(1 - acos(i / 499) / pi(), 4), 16), 6) AS p_angle FROM range(500) t(i)",
         "candidate_histogram": f"""{w}{_GRID}, e AS (SELECT min(n_candidates) AS lo, max(n_candidates) AS hi FROM grid)
 SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((n_candidates - lo) * 30 / (hi - lo)) + 1, 30) END::BIGINT AS bin, count(*) AS n FROM grid, e GROUP BY 1""",
+        "minhash_signatures": f"{w}{_signed_texts()} SELECT doc_id, array_to_string(m, ',') AS signature FROM signed",
+        "near_duplicate_classes": f"WITH RECURSIVE c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),{_NEAR} SELECT * FROM classes",
+        "minhash_agreement": f"""WITH RECURSIVE {_signed_texts()},{_NEAR},
+pairs AS (SELECT doc_id AS a, class_id AS b FROM classes WHERE doc_id <> class_id),
+own AS (SELECT DISTINCT doc_id, substr(t, i, 8) AS g FROM c, unnest(range(1, length(t) - 6)) u(i) WHERE doc_id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
+own_n AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+shared AS (SELECT a, b, count(*) AS k FROM pairs JOIN own x ON x.doc_id = a JOIN own y ON y.doc_id = b AND y.g = x.g GROUP BY a, b)
+SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard, round(len(list_filter(range(1, 101), lambda i: u.m[i] = v.m[i])) / 100, 6) AS agreement
+FROM shared JOIN own_n p ON p.doc_id = a JOIN own_n q ON q.doc_id = b JOIN signed u ON u.doc_id = a JOIN signed v ON v.doc_id = b""",
+        "vocabulary": f"{w}{_INDEX} SELECT term, (row_number() OVER (ORDER BY term))::BIGINT - 1 AS id FROM term_stats",
+        "one_hot_rows": f"""{w}{_INDEX}, ids AS (SELECT term, (row_number() OVER (ORDER BY term))::BIGINT - 1 AS id FROM term_stats)
+SELECT l.doc_id, (SELECT count(*) FROM ids) AS size, count(id)::BIGINT AS n, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id), '') AS indices
+FROM lengths l LEFT JOIN (SELECT DISTINCT doc_id, id FROM postings JOIN ids USING (term)) p ON p.doc_id = l.doc_id GROUP BY l.doc_id""",
+        "text_embeddings": f"{w}{_INDEX},{_embedded('postings', 'doc_id')} SELECT doc_id, array_to_string(list_transform(x, lambda z: z::BIGINT), ',') AS vector FROM v",
+        "semantic_text_exact": f"""{w}{_INDEX},{_embedded('postings', 'doc_id')},
+asked AS (SELECT doc_id, term, 'title' AS field, count(*) AS tf FROM stemmed WHERE field = 'title' AND doc_id % 100 = 0 GROUP BY 1, 2),{_embedded('asked', 'doc_id', 'q')},
+s AS (SELECT q.doc_id AS query_id, v.doc_id, round({_COS.format(a="q.x", b="v.x")}, 6) AS score FROM q, v)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE NOT isnan(score)) WHERE rank <= 10""",
         "shingle_counts": f"WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents) SELECT doc_id, count(DISTINCT substr(t, i, 8)) FILTER (WHERE i > 0)::BIGINT AS n_shingles FROM c, unnest(CASE WHEN length(t) >= 8 THEN range(1, length(t) - 6) ELSE [0] END) u(i) GROUP BY doc_id",
     }

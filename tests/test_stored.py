@@ -33,18 +33,44 @@ def test_lsh_index(spark, vectors, tmp_path):
     assert got and got == rows(lsh.lsh_search(df, q, planes, 8, 5))
 
 
-def test_ivf_index(spark, vectors, tmp_path, monkeypatch):
+def test_ivf_index(spark, vectors, tmp_path):
     df, q = vectors
     index = ivf.build_ivf(df, 6, m=4, nbits=4)
     index.save(str(tmp_path / "ivf"))
     again = ivf.IvfIndex.load(spark, str(tmp_path / "ivf"))
     want = rows(ivf.ivf_search(index, q, 5, nprobe=3))
     assert rows(ivf.ivf_search(again, q, 5, nprobe=3)) == want
-    monkeypatch.setattr(ivf, "MOST_BROADCAST", 0)
-    assert rows(ivf.ivf_search(again, q, 5, nprobe=3)) == want
+    assert "dynamicpruning" in ivf.ivf_search(again, q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert rows(ivf.ivf_search(again, q, 5, nprobe=3, most_bytes=0)) == want
+    assert (again.nprobe, again.shortlist) == (index.nprobe, index.shortlist)
     few = ivf.ivf_search(index, q.where("query_id = 0"), 1000, nprobe=1)  # fewer neighbours than asked for
     assert 0 < few.count() < 300
-    assert ivf.ivf_search(index, q, 5, nprobe=6, coded=True, shortlist=300).count() == len(q.collect()) * 5
+    exact = rows(vector.exact_knn(df, q, 5, skip_self=False))
+    assert rows(ivf.ivf_search(again, q, 5, nprobe=6)) == exact == rows(ivf.ivf_search(again, q, 5, nprobe=6, coded=True, shortlist=300)) == rows(ivf.ivf_search(again, q, 5, nprobe=6, coded=True, shortlist=300, most_bytes=0))
+    assert ivf.ivf_search(again, q, 5, nprobe=6, coded=True, shortlist=0).count() == 150
+
+
+def test_ivf_of_few_and_odd_vectors(spark):
+    schema = "doc_id long, vector array<float>"
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (4, [1.0, 1.0])], schema)
+    q = spark.createDataFrame([(9, [1.0, 0.1]), (8, [0.0, 0.0]), (7, None)], "query_id long, vector array<float>")
+    assert [(r.query_id, r.doc_id) for r in ivf.ivf_search(ivf.build_ivf(df), q, nprobe=5).orderBy("rank").collect()] == [(9, 1), (9, 4), (9, 4)]
+    none = ivf.build_ivf(df.where("false"), m=2)
+    assert ivf.ivf_search(none, q.where("query_id = 9"), coded=True).count() == 0
+
+
+def test_chunks_train_as_well_as_the_whole(spark, monkeypatch):
+    """Mini-batches of an eighth of the vectors leave centres that are about as near as whole passes do."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((8, 12))[r.integers(0, 8, 1600)] + 0.3 * r.standard_normal((1600, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = []
+    for chunk in (10**9, 25):  # whole passes; eight chunks
+        monkeypatch.setattr(ivf, "CHUNK", chunk)
+        c = ivf.build_ivf(df, 8, m=4, nbits=4).centroids
+        near.append((u @ c.T).max(1).mean())
+    assert near[1] > near[0] - 0.02 and near[0] > 0.85
 
 
 def test_blocks_of_queries(vectors, monkeypatch):
