@@ -1,6 +1,7 @@
 """SentencePiece encoding by batched numpy Viterbi, and decoding.
 
-A text's spaces become U+2581 with one more in front; it falls into units, each a run of U+2581
+A text is normalised as its model says: the model's own rules, or where it has none its spaces become
+U+2581 with one more in front.  It falls into units, each a run of U+2581
 and what follows up to the next.  No piece reaches over a unit's start, so units are segmented on
 their own, and each distinct one once by a worker.  Unseen units of equal length advance together:
 at every end place the hashes of all substrings that end there are probed in the sorted piece
@@ -9,7 +10,10 @@ keys, and the vectorised maximum over them is stored with its backpointer.  In a
 
 The segmentation has the largest sum of the pieces' stored scores, added in 32-bit floats; between
 equal sums the longest last piece wins.  A character that is no piece is written as its UTF-8 bytes'
-pieces.  For a unigram model these are the ids of its own library.  A file that was trained by merges
+pieces.  For a unigram model with byte pieces these are the ids of its own library, but for
+segmentations with equal sums, as ``dd d`` and ``d dd``: the library adds scores from the text's start, and how
+that rounds decides there.  Texts are got back
+exactly where the model normalises nothing; else what they were normalised to.  A file that was trained by merges
 has merge ranks as scores; its own merge loop segments otherwise, so the ids are **not** that file's
 own encoding, though they decode to the same text.
 """
@@ -42,6 +46,14 @@ def _prefix_hashes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.zeros(1, U64), np.cumsum((cp.astype(U64) + U64(0x1F351)) * p[: len(cp)]))), inv
 
 
+#: Texts that tell what a model's normaliser does: folds forms, drops or maps white space and controls, puts no space in front.
+PROBES = ["x", "ab  cd ", " ab", "   ", "a\tb\n", "a\u3000b\u00a0", "ﬁne １２ ｱ", "e\u0301 Å ½ ①", "ÀÉß İ", "a\x00\x07b", "\u200b\ufeffa", "▁a▁"]
+
+
+def _spaced(text: str) -> str:
+    return ("▁" + text.replace(" ", "▁")) if text else ""
+
+
 class Pieces:
     """The pieces of a model file, as sorted keys with scores and ids."""
 
@@ -56,6 +68,9 @@ class Pieces:
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if len(byte) != 256 or any("▁" in text[i].lstrip("▁") for i in plain):
             raise ValueError("a model with byte pieces, whose pieces have U+2581 in front only, is needed")
+        #: The model's own normaliser, or None where it only turns spaces into U+2581 with one more in front.
+        self.normalize = model.normalize if any(model.normalize(t) != _spaced(t) for t in PROBES) else None
+        self.led = model.normalize("x").startswith("▁")
         self.byte = np.array(byte, np.uint32)
         joined = np.frombuffer("".join(text[i] for i in plain).encode("utf-32-le"), np.uint32)
         stop = np.cumsum([len(text[i]) for i in plain])
@@ -169,8 +184,9 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's ids."""
-        sizes = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
-        joined = "".join(" " + t for t in texts if t).replace(" ", "▁")
+        texts = list(map(self.normalize or _spaced, texts))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = "".join(texts)
         if not joined:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -195,7 +211,8 @@ class Pieces:
         flat = self.raw[varied_ranges(self.raw_at[ids], size)].tobytes()
         upto = np.concatenate(([0], np.cumsum(size)))
         at = upto[np.concatenate(([0], np.cumsum(count)))]
-        return [flat[a + 1 : b] if b > a else b"" for a, b in zip(at.tolist(), at[1:].tolist())]
+        skip = 1 if self.led else 0
+        return [flat[a + skip : b] if b > a else b"" for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 _models: dict[str, Pieces] = {}

@@ -174,18 +174,20 @@ def _varint(n):
     return out + bytes([n])
 
 
-def _unigram(path, pieces):
+def _unigram(path, pieces, prefix=1, squeeze=0):
     """A model file of the unigram kind with bytes for what is no piece."""
     field = lambda k, x: _varint(k << 3 | 2) + _varint(len(x)) + x
     every = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, s, 1) for p, s in pieces)]
     out = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + _varint(k)) for p, s, k in every)
     trainer = b"\x18\x01" + b"\x20" + _varint(len(every)) + _varint(35 << 3) + b"\x01"
-    normal = field(1, b"identity") + b"\x18\x01" + b"\x20\x00" + b"\x28\x01"
+    normal = field(1, b"identity") + bytes([0x18, prefix, 0x20, squeeze]) + b"\x28\x01"
     path.write_bytes(out + field(2, trainer) + field(3, normal))
     return str(path)
 
 
-def test_unigram_ids_are_the_library_s(tmp_path):
+@pytest.mark.parametrize("prefix,squeeze", [(1, 0), (1, 1), (0, 0), (0, 1)])
+def test_unigram_ids_are_the_library_s(tmp_path, prefix, squeeze):
+    """With and without a space in front, and with extra spaces kept or taken out, as models have by default."""
     from sentencepiece import SentencePieceProcessor
 
     r = random.Random(6)
@@ -193,14 +195,14 @@ def test_unigram_ids_are_the_library_s(tmp_path):
     while len(pieces) < 120:
         p = ("▁" if r.random() < 0.4 else "") + "".join(r.choice("abcdef") for _ in range(r.randint(1, 5)))
         pieces.setdefault(p, -r.uniform(3, 12))
-    path = _unigram(tmp_path / "u.model", list(pieces.items()))
+    path = _unigram(tmp_path / "u.model", list(pieces.items()), prefix, squeeze)
     lib, own = SentencePieceProcessor(model_file=path), sentence_pieces.Pieces(path)
-    texts = ["".join(r.choice("abcdef  é中") for _ in range(r.randint(1, 40))) for _ in range(1500)] + ["abcdef" * 300 + "é" + "fed" * 200, "a" * 1000]
+    texts = ["".join(r.choice("abcdef  é中") for _ in range(r.randint(1, 40))) for _ in range(1500)] + ["abcdef" * 300 + "é" + "fed" * 200, "a" * 1000, "ab  cd ", " ab", "   ", "", "a\tb\n c"]
     ids, n = own.encode(texts)
     same = 0
     for t, x in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
         same += lib.encode(t) == x.tolist()
-    assert own.decode(ids, n) == [t.encode() for t in texts]
+    assert own.decode(ids, n) == [lib.normalize(t).replace("▁", " ")[prefix:].encode() for t in texts] and (own.normalize is None) == (prefix > squeeze)
     assert same == len(texts), f"{same} of {len(texts)}"
 
 
