@@ -221,7 +221,9 @@ def pareto_frontier(spark, sf_dir):
 
 
 def lsh_s_curve(spark, sf_dir):
-    return evaluate.s_curve(spark, 4, 16)
+    """The S-curve at the cosines of each vector and the one of the next id, beside the bands they do share."""
+    pairs = cosine_pairs(spark, sf_dir).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), "cosine")
+    return evaluate.collision_curve(pairs, _bands(spark, sf_dir), BITS // BANDS, BANDS)
 
 
 def candidate_histogram(spark, sf_dir):

@@ -187,7 +187,10 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
         "recall_pivot": f"{w}{_GRID} SELECT num_bits, {', '.join(f'round(avg(recall) FILTER (WHERE b = {b}), 6) AS b{b}' for b in (4, 8, 16, 32))} FROM grid GROUP BY num_bits",
         "pareto_frontier": f"""{w}{_GRID} SELECT num_bits, b, r, avg_recall, avg_candidates, pct_dataset FROM (
   SELECT *, max(avg_recall) OVER (ORDER BY avg_candidates, avg_recall DESC, num_bits, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM summary) WHERE avg_recall > coalesce(before, -1)""",
-        "lsh_s_curve": "SELECT round(i / 499, 6) AS s, round(1 - pow(1 - pow(i / 499, 4), 16), 6) AS p_linear, round(1 - pow(1 - pow(1 - acos(i / 499) / pi(), 4), 16), 6) AS p_angle FROM range(500) t(i)",
+        "lsh_s_curve": f"""{w}{_BAND}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, round({_COS.format(a='a.x', b='b.x')}, 6) AS c FROM v a JOIN v b ON b.doc_id = a.doc_id + 1),
+met AS (SELECT DISTINCT p.a, p.b FROM p JOIN bands x ON x.doc_id = p.a JOIN bands y ON y.doc_id = p.b AND y.band = x.band AND y.bucket = x.bucket),
+k AS (SELECT p.*, m.a IS NOT NULL AS met, 1 - pow(1 - pow(greatest(least(c, 1), 0), {BITS // BANDS}), {BANDS}) AS x, 1 - pow(1 - pow(1 - acos(greatest(least(c, 1), -1)) / pi(), {BITS // BANDS}), {BANDS}) AS y FROM p LEFT JOIN met m ON m.a = p.a AND m.b = p.b WHERE NOT isnan(c))
+SELECT round(c, 1) AS s, count(*) AS n, round(avg(x), 6) AS p_linear, round(avg(y), 6) AS p_angle, round(avg(met::INT), 6) AS observed FROM k GROUP BY 1""",
         "candidate_histogram": f"""{w}{_GRID}, e AS (SELECT min(n_candidates) AS lo, max(n_candidates) AS hi FROM grid)
 SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((n_candidates - lo) * 30 / (hi - lo)) + 1, 30) END::BIGINT AS bin, count(*) AS n FROM grid, e GROUP BY 1""",
         "minhash_signatures": f"{w}{_signed_texts()} SELECT doc_id, array_to_string(m, ',') AS signature FROM signed",
