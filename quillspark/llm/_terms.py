@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm._cluster import release
 from quillspark.llm._words import _BYTE, _R_BYTE, Words, blocks, mix, powers, utf8
 
 U64 = np.uint64
@@ -90,6 +91,7 @@ def collect_terms(docs: DataFrame, terms: Terms, bits: int) -> dict[str, np.ndar
     """(row, bucket, value) triples and labels of a bounded sample with columns text, label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column(0))]
             for i, j in blocks(texts):
@@ -148,6 +150,7 @@ def scored(docs: DataFrame, terms: Terms, bits: int, model: Callable[[np.ndarray
         raise ValueError(f"columns of these names can't be kept beside the model's: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column("text"))]
             for i, j in blocks(texts):
