@@ -131,8 +131,9 @@ signed AS (SELECT doc_id, [{minima}] AS m FROM hs GROUP BY doc_id)"""
 _NEAR = """
 sh AS (SELECT DISTINCT doc_id, substr(t, i, 8) AS g FROM (SELECT min(doc_id) AS doc_id, t FROM c WHERE length(t) >= 8 GROUP BY t), unnest(range(1, length(t) - 6)) u(i)),
 sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM met JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+alike AS (SELECT a, b FROM met JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+links AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sz UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
 roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id),
 named AS (SELECT c.doc_id, coalesce(r.root, c.doc_id) AS class_id FROM c LEFT JOIN (SELECT t, min(doc_id) AS first FROM c WHERE length(t) >= 8 GROUP BY t) f ON f.t = c.t LEFT JOIN roots r ON r.doc_id = f.first),
