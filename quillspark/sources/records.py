@@ -95,6 +95,12 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("query_id", "n")).select("query_id", F.posexplode("n").alias("pos", "neighbor_id"))
 
 
+def read_truth_lines(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, pos, neighbor_id of what ``write_truth`` wrote: lines, which are read in parallel."""
+    rows = spark.read.schema("query_id string, neighbors array<string>").option("mode", "DROPMALFORMED").json(path)
+    return rows.select("query_id", F.posexplode("neighbors").alias("pos", "neighbor_id"))
+
+
 def truth_queries(raw: DataFrame, truth: DataFrame) -> DataFrame:
     """query_id, text: the raw abstracts of the ids that ``truth`` asks for."""
     ids = truth.select(F.col("query_id").alias("id")).distinct()

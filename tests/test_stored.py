@@ -122,6 +122,7 @@ def test_evaluation_files(spark, tmp_path):
     truth = spark.createDataFrame([("q", 1, "b"), ("q", 0, "a")], "query_id string, pos int, neighbor_id string")
     records.write_truth(truth, str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t")).first().neighbors == ["a", "b"]
+    assert rows(records.read_truth_lines(spark, str(tmp_path / "t"))) == [("q", 0, "a"), ("q", 1, "b")]
     raw = spark.createDataFrame([("q", "text"), ("z", "no")], "id string, abstract string")
     assert rows(records.truth_queries(raw, truth)) == [("q", "text")]
     assert records.random_rows(spark.range(50), 7).distinct().count() == 7 and records.random_rows(spark.range(3), 7).count() == 3
