@@ -129,7 +129,7 @@ signed AS (SELECT doc_id, [{minima}] AS m FROM hs GROUP BY doc_id)"""
 
 #: All pairs of distinct texts by their shared shingles, and what they reach.
 _NEAR = """
-sh AS (SELECT DISTINCT doc_id, substr(t, i, 8) AS g FROM (SELECT min(doc_id) AS doc_id, t FROM c WHERE length(t) >= 8 GROUP BY t), unnest(range(1, length(t) - 6)) u(i)),
+sh AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_transform(range(1, length(t) - 6), lambda i: substr(t, i, 8)))) AS g FROM (SELECT min(doc_id) AS doc_id, t FROM c WHERE length(t) >= 8 GROUP BY t)),
 sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
 alike AS (SELECT a, b FROM met JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
@@ -198,7 +198,7 @@ SELECT CASE WHEN hi = lo THEN 1 ELSE least(floor((n_candidates - lo) * 30 / (hi
         "near_duplicate_classes": f"WITH RECURSIVE c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),{_NEAR} SELECT * FROM classes",
         "minhash_agreement": f"""WITH RECURSIVE {_signed_texts()},{_NEAR},
 pairs AS (SELECT doc_id AS a, class_id AS b FROM classes WHERE doc_id <> class_id),
-own AS (SELECT DISTINCT doc_id, substr(t, i, 8) AS g FROM c, unnest(range(1, length(t) - 6)) u(i) WHERE doc_id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
+own AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 6), lambda i: substr(t, i, 8))) AS g FROM c WHERE doc_id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
 own_n AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
 shared AS (SELECT a, b, count(*) AS k FROM pairs JOIN own x ON x.doc_id = a JOIN own y ON y.doc_id = b AND y.g = x.g GROUP BY a, b)
 SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard, round(len(list_filter(range(1, 101), lambda i: u.m[i] = v.m[i])) / 100, 6) AS agreement
