@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -128,10 +128,29 @@ def random_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def fixed(x: Column, places: int = 4) -> Column:
+    """``x`` with ``places`` decimals as C's printf writes it: the exact value of the double rounded, ties to even.
+
+    Java's formatter rounds the shortest decimal that stands for the double, so 0.97145, which is a little less
+    than that, would be rounded up.  The product with the power of ten and its rounding error are taken apart, and the
+    error decides where the product seems to lie halfway.
+    """
+    power = 10**places
+    x = x.cast("double")
+    halves = lambda v: ((v * 134217729.0) - ((v * 134217729.0) - v))  # noqa: E731  # the upper 26 bits
+    high, product = halves(x), x * float(power)  # a power of ten of 26 bits or less is its own upper half
+    error = (high * float(power) - product) + (x - high) * float(power)
+    near = F.rint(product)
+    near = near + F.when((product - near == 0.5) & (error > 0), 1.0).when((product - near == -0.5) & (error < 0), -1.0).otherwise(0.0)
+    whole = F.abs(near).cast("long")
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(whole / F.lit(power)).cast("string"), F.lit("."), F.lpad((whole % power).cast("string"), places, "0"))
+
+
 def report(results: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, rank, line: results with their titles as text; unknown ids say so."""
     joined = results.join(names, "doc_id", "left")
-    line = F.format_string("%d. [Score: %.4f] %s (ID: %s)", F.col("rank").cast("int"), F.col("score"), F.coalesce("title", F.lit("Title not found.")), F.col("doc_id").cast("string"))
+    line = F.format_string("%d. [Score: %s] %s (ID: %s)", F.col("rank").cast("int"), fixed(F.col("score")), F.coalesce("title", F.lit("Title not found.")), F.col("doc_id").cast("string"))
     return joined.select("query_id", "rank", line.alias("line"))
 
 
