@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.stopwords import DEFAULT
@@ -51,6 +51,17 @@ def stem(w: Column) -> Column:
     return F.when(F.length(w) <= 3, w).otherwise(undouble(action_stem(plural_stem(w))))
 
 
+def with_stems(rows: DataFrame, word: str = "word", name: str = "term") -> DataFrame:
+    """``rows`` with the stem of a column of words.
+
+    A column for each step: as one expression each step repeats the ones before in every place that it uses the
+    word, and the code that Spark makes of it grows beyond 64 KB, so that it is interpreted instead.
+    """
+    first = rows.withColumn("_plural", plural_stem(F.col(word)))
+    second = first.withColumn("_action", action_stem(F.col("_plural")))
+    return second.withColumn(name, F.when(F.length(word) <= 3, F.col(word)).otherwise(undouble(F.col("_action")))).drop("_plural", "_action")
+
+
 def words(c: Column, stop_words: Sequence[str] = DEFAULT) -> Column:
     """Lower-case words without punctuation and stop words.
 

@@ -103,7 +103,7 @@ def postings_of_words(words: DataFrame) -> DataFrame:
     """term, doc_id, field, tf, len.  Words are stemmed as rows, in compiled code, and not inside arrays."""
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.size(f"{f}_words").cast("long").alias("len"), F.col(f"{f}_words").alias("words")) for f in WEIGHTS))
     rows = words.select("doc_id", F.inline(fields)).select("doc_id", "field", "len", F.explode("words").alias("word"))
-    terms = rows.select(T.stem(F.col("word")).alias("term"), "doc_id", "field", "len")
+    terms = T.with_stems(rows)
     return terms.groupBy("term", "doc_id", "field", "len").agg(F.least(F.count("*"), F.lit(MOST_TF)).alias("tf")).select("term", "doc_id", "field", "tf", "len")
 
 

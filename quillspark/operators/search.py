@@ -49,7 +49,7 @@ def embed_terms(terms: DataFrame, dims: int = 64) -> DataFrame:
 def embed_texts(texts: DataFrame, stop_words: Sequence[str] = DEFAULT, dims: int = 64) -> DataFrame:
     """doc_id, vector of texts (doc_id, text) by ``embed_terms``; texts without terms have none."""
     rows = texts.select("doc_id", F.explode(T.words(F.col("text"), stop_words)).alias("word"))
-    return embed_terms(rows.groupBy("doc_id", T.stem(F.col("word")).alias("term")).agg(F.count("*").alias("tf")), dims)
+    return embed_terms(T.with_stems(rows).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), dims)
 
 
 def semantic_text_search(method: str, queries: DataFrame, k: int = 10, stop_words: Sequence[str] = DEFAULT, dims: int = 64, **options) -> DataFrame:

@@ -103,7 +103,7 @@ def tokenize(spark, sf_dir):
 
 def stem_vocab(spark, sf_dir):
     words = _documents(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
-    return words.select("word", T.stem(F.col("word")).alias("stem"))
+    return T.with_stems(words, name="stem")
 
 
 def term_frequencies(spark, sf_dir):
