@@ -1,8 +1,10 @@
 """Inverted-file search: k-means cells, cell pruning, optional product quantisation, re-ranking.
 
 All distances are cosine.  Vectors are kept as packed rows of one cell, so that a row and a packed row
-of queries are one matrix product.  A saved index has a folder for each cell; a search joins it with
-its probes, and Spark reads the probed folders only.
+of queries are one matrix product.  A saved index has a folder for each cell; a search of few queries
+joins it with their probes, and Spark reads the probed folders only.  Many queries meet the cells in blocks, which
+say by a bit for each cell and query whether it is probed; a task keeps the best of each query, so what is
+shuffled grows with the queries and tasks and not with the probes.
 
 Cells and code words are trained by mini-batches over all vectors: each round takes another chunk of
 them (all of them while they are few), tasks sum their vectors by the nearest centre, and the driver gets
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.vector import MOST_BROADCAST, exact_knn, matrix, unit
+from quillspark.operators.vector import MOST_BROADCAST, MOST_HELD, Best, exact_knn, matrix, spans, unit
 from quillspark.sources.records import cut, ranked
 
-#: Parts of a cell where probes are too many to be broadcast.
-SALTS = 64
+#: Places of shortlists that are rows at most, and bins of coded scores beyond.
+MOST_SHORTLISTED, BINS = 100_000, 2048
 #: Vectors or queries in a packed row at most.
 BLOCK = 2048
 #: Vectors of a chunk for each cell, and chunks at most.
@@ -241,13 +243,10 @@ def _counted_above(codebooks: np.ndarray, asked: dict[int, tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = {q: np.zeros(len(s), np.int64) for q, (_, s) in asked.items()}
-        for batch in batches:
-            for ids, codes, queries in zip(*(batch.column(c) for c in ("ids", "codes", "asked_ids"))):
-                own, code = _longs(ids.as_buffer()), np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, len(codebooks))
-                for q in _longs(queries.as_buffer()).tolist():
-                    x, s = asked[q]
-                    scores = np.sort(_coded_scores(x[None], code, codebooks)[0][own != q])
-                    above[q] += len(scores) - np.searchsorted(scores, s, "right")
+        for _, own, code, _, queries, x, row in _meetings(batches, codebooks):
+            for q, scores in zip(queries[row].tolist(), _coded_scores(x[row], code, codebooks)):
+                scores = np.sort(scores[own != q])
+                above[q] += len(scores) - np.searchsorted(scores, asked[q][1], "right")
         rows = [(q, i, int(n)) for q, a in above.items() for i, n in enumerate(a)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, names=["query_id", "place", "n"])
 
@@ -283,7 +282,7 @@ def _choose(index: IvfIndex, vectors: DataFrame, asked: DataFrame, k: int, recal
         if np.flatnonzero(order[r.query_id] == r.cell)[0] < nprobe:
             own.setdefault(r.query_id, []).append(r.code)
     scores = {q: (queries[q], _coded_scores(queries[q][None], np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1), index.codebooks)[0]) for q, c in own.items()}
-    met = _met(index.cells.select("cell", "ids", "codes"), _probes(asked.where(F.col("query_id").isin(list(own))), index.centroids, nprobe))
+    met = _asked(index.cells.select("cell", "ids", "codes"), asked.where(F.col("query_id").isin(list(own))), index.centroids, nprobe)
     ranks = met.mapInArrow(_counted_above(index.codebooks, scores), "query_id long, place long, n long").groupBy("query_id", "place").agg(F.sum("n").alias("n"))
     n = sorted(r.n for r in ranks.collect())
     if not n:
@@ -295,33 +294,179 @@ def _choose(index: IvfIndex, vectors: DataFrame, asked: DataFrame, k: int, recal
 def _probe(centroids: np.ndarray, nprobe: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(matrix(batch.column("vector")))
-            ok = ~np.isnan(x).any(1)
-            ids, x = batch.column("query_id").to_numpy(zero_copy_only=False)[ok], x[ok]
-            best = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :nprobe] if len(x) else np.empty((0, 1), int)
+            ids, x, best, _ = _nearest_cells(batch, centroids, nprobe)
             row = np.repeat(np.arange(len(ids)), best.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(ids[row]), pa.array([x[i].tobytes() for i in row], pa.binary())], names=["cell", "asked_ids", "asked"])
 
     return run
 
 
+def _nearest_cells(batch: pa.RecordBatch, centroids: np.ndarray, nprobe: int) -> tuple[np.ndarray, ...]:
+    """Ids, unit vectors, ``nprobe`` nearest cells and borders (if there) of the queries that have a direction."""
+    x = unit(matrix(batch.column("vector")))
+    ok = ~np.isnan(x).any(1)
+    ids, x = batch.column("query_id").to_numpy(zero_copy_only=False)[ok], x[ok]
+    border = batch.column("border").to_numpy(zero_copy_only=False)[ok] if "border" in batch.schema.names else np.empty(0)
+    return ids, x, np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :nprobe] if len(x) else np.empty((0, 1), int), border
+
+
 def _probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     """cell, asked_ids, asked: the queries' packed unit vectors by the ``nprobe`` nearest cells of each."""
     return _pack_cells(queries.select("query_id", "vector").mapInArrow(_probe(centroids, nprobe), "cell int, asked_ids long, asked binary"))
 
 
-def _met(cells: DataFrame, probes: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
-    """Packed rows of cells with the packed rows that ask for them.
+def _met(cells: DataFrame, probes: DataFrame) -> DataFrame:
+    """Packed rows of cells with the packed rows that ask for them, which are broadcast: only the folders of probed cells are read."""
+    return cells.join(F.broadcast(cut(probes).where("cell >= 0")), "cell")  # always true; Spark prunes by a side that has a filter only
+
+
+def _block(centroids: np.ndarray, nprobe: int):
+    """Packed queries with a bit for each cell and query that says whether it is probed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                ids, x, best, border = _nearest_cells(batch.slice(i, BLOCK), centroids, nprobe)
+                probed = np.zeros((len(centroids), len(ids)), bool)
+                if len(ids):
+                    probed[best.ravel(), np.repeat(np.arange(len(ids)), best.shape[1])] = True
+                    cols = ids.astype("<i8"), x, np.packbits(probed, axis=1), border.astype("<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["asked_ids", "asked", "probed", "borders"])
+
+    return run
+
+
+def _asked(cells: DataFrame, queries: DataFrame, centroids: np.ndarray, nprobe: int, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """Packed rows of cells with each block of queries: a query is sent once, and not once for each cell that it probes.
+
+    The blocks are broadcast up to ``most_bytes``, beyond which executors read them as partitions.
+    """
+    rows = queries.select("query_id", "vector", *(c for c in queries.columns if c == "border"))
+    n = rows.count()
+    blocks = rows.repartition(max(1, -(-n // BLOCK)), "query_id").mapInArrow(_block(centroids, nprobe), "asked_ids binary, asked binary, probed binary, borders binary")
+    return cells.crossJoin(F.broadcast(blocks) if n * (8 + 8 * centroids.shape[1] + len(centroids) // 8) <= most_bytes else cut(blocks))
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], codebooks: np.ndarray | None = None) -> Iterator[tuple]:
+    """Ids, vectors and codes (None if not there) of a packed row, a block's ids and unit vectors, and the places in it of those that probe the cell, in parts."""
+    for batch in batches:
+        held = [batch.column(c) if c in batch.schema.names else [None] * batch.num_rows for c in ("vectors", "codes")]
+        for cell, ids, vectors, codes, queries, asked, probed in zip(batch.column("cell").to_pylist(), batch.column("ids"), *held, *(batch.column(c) for c in ("asked_ids", "asked", "probed"))):
+            own, q = _longs(ids.as_buffer()), _longs(queries.as_buffer())
+            width = -(-len(q) // 8)
+            row = np.flatnonzero(np.unpackbits(np.frombuffer(probed.as_buffer(), np.uint8, width, cell * width), count=len(q)))
+            x = None if vectors is None else _doubles(vectors.as_buffer(), len(own))
+            code = None if codes is None or codebooks is None else np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(own), -1)
+            a = _doubles(asked.as_buffer(), len(q))
+            for part in spans(len(row), len(own)):
+                yield queries.as_buffer(), own, code, x, q, a, row[part]
+
+
+def _best_met(k: int, skip_self: bool, codebooks: np.ndarray | None):
+    """query_id, doc_id, score: a task's ``k`` best of each query, by vectors or codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Best(k, skip_self)
+        for key, own, code, x, q, a, row in _meetings(batches, codebooks):
+            kept.add(bytes(key), q, row, own, a[row] @ x.T if codebooks is None else _coded_scores(a[row], code, codebooks))
+            yield from kept.rows(MOST_HELD)
+        yield from kept.rows()
+
+    return run
+
+
+def _bins(scores: np.ndarray) -> np.ndarray:
+    """The bin of each coded score; a larger score never has a smaller bin."""
+    return np.clip((scores + 1) * (BINS / 2), 0, BINS - 1).astype(np.int64)
+
+
+def _histograms(skip_self: bool, codebooks: np.ndarray):
+    """query_id, counts: a task's coded scores of each query by bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for key, own, code, _, q, a, row in _meetings(batches, codebooks):
+            _, counts = held.setdefault(bytes(key), (q, np.zeros((len(q), BINS), np.int32)))
+            bins = _bins(np.round(_coded_scores(a[row], code, codebooks), 6))
+            flat = (np.arange(len(row))[:, None] * BINS + bins).ravel()
+            if skip_self:
+                flat = flat[(q[row][:, None] != own).ravel()]
+            counts[row] += np.bincount(flat, minlength=len(row) * BINS).reshape(-1, BINS).astype(np.int32)
+            if 4 * BINS * sum(len(x) for x, _ in held.values()) > MOST_HELD:
+                yield from _counted(held)
+        yield from _counted(held)
+
+    return run
+
+
+def _counted(held: dict) -> Iterator[pa.RecordBatch]:
+    for q, counts in held.values():
+        for i in range(0, len(q), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(q[i : i + 256]), pa.array([c.tobytes() for c in counts[i : i + 256]], pa.binary())], names=["query_id", "counts"])
+    held.clear()
+
+
+def _borders(most: int):
+    """query_id, border, above of a group of queries: the bin that holds the ``most``-th best score, and how many lie in higher bins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(table.column("query_id").to_numpy(), return_inverse=True)
+        counts = np.zeros((len(ids), BINS), np.int64)
+        for i, c in zip(at.tolist(), (c for chunk in table.column("counts").chunks for c in chunk)):
+            counts[i] += np.frombuffer(c.as_buffer(), np.int32)
+        reached = counts[:, ::-1].cumsum(1)
+        place = (reached < most).sum(1)  # of the highest bin 0
+        above = np.where(place > 0, np.take_along_axis(reached, np.maximum(place - 1, 0)[:, None], 1)[:, 0], 0)
+        return pa.table({"query_id": ids, "border": BINS - 1 - place, "above": above})
+
+    return run
+
+
+def _within(k: int, skip_self: bool, codebooks: np.ndarray):
+    """query_id, doc_id, score, coded: a task's ``k`` best by exact cosine of what lies above a query's border, and, with ``coded``, all that lies in its bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Best(k, skip_self)
+        whole = lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.float64())], names=[*b.schema.names, "coded"])
+        for batch in batches:
+            borders = batch.column("borders")
+            for i in range(batch.num_rows):
+                border = _longs(borders[i].as_buffer())
+                for key, own, code, x, q, a, row in _meetings([batch.slice(i, 1)], codebooks):
+                    coded = np.round(_coded_scores(a[row], code, codebooks), 6)
+                    bins, edge = _bins(coded), border[row][:, None]
+                    s = a[row] @ x.T
+                    at = bins == edge
+                    if skip_self:
+                        at &= q[row][:, None] != own
+                    r, c = np.nonzero(at)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array(q[row][r]), pa.array(own[c]), pa.array(np.round(s[r, c], 6)), pa.array(coded[r, c])], names=["query_id", "doc_id", "score", "coded"])
+                    s[bins <= edge] = -np.inf
+                    kept.add(bytes(key), q, row, own, s)
+            for b in kept.rows(MOST_HELD):
+                yield whole(b)
+        for b in kept.rows():
+            yield whole(b)
+
+    return run
+
+
+def _shortlisted(index: IvfIndex, held: DataFrame, k: int, nprobe: int, skip_self: bool, most: int, most_bytes: int) -> DataFrame:
+    """query_id, doc_id, score of each query's ``most`` best by codes, of which the best ``k`` are among these rows.
 
-    Up to ``most_bytes`` the latter are broadcast, so vectors aren't shuffled and only the folders of probed
-    cells are read; beyond, each cell is parted by salts that all its probes have.
+    The shortlists are no rows.  Coded scores are counted by bins, which names for each query the bin of its last
+    place; a second pass computes exact cosines where the vectors are, and sends on the best ``k`` above that bin
+    and what lies in it, of which the best by codes fill the shortlist.
     """
-    probes = cut(probes)
-    size = probes.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(c) for c in probes.columns[1:])).first()
-    if sum(size) <= most_bytes:
-        return cells.join(F.broadcast(probes.where("cell >= 0")), "cell")  # always true; Spark prunes by a side that has a filter only
-    probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return cells.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).join(probes, ["cell", "salt"]).drop("salt")
+    counts = _asked(index.cells.select("cell", "ids", "codes"), held, index.centroids, nprobe, most_bytes).mapInArrow(_histograms(skip_self, index.codebooks), "query_id long, counts binary")
+    groups = max(1, held.count() // 64)
+    borders = cut(counts.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part")).applyInArrow(_borders(most), "query_id long, border long, above long"))
+    rows = _asked(index.cells, held.join(borders, "query_id"), index.centroids, nprobe, most_bytes).mapInArrow(_within(k, skip_self, index.codebooks), "query_id long, doc_id long, score double, coded double")
+    rows = cut(rows)
+    edge = ranked(rows.where("coded IS NOT NULL").select("query_id", F.struct("doc_id", "score").alias("doc_id"), F.col("coded").alias("score")), most)
+    edge = edge.join(borders, "query_id").where(F.col("rank") <= most - F.col("above")).select("query_id", "doc_id.doc_id", "doc_id.score")
+    return rows.where("coded IS NULL").select("query_id", "doc_id", "score").unionByName(edge)
 
 
 def _coded_scores(asked: np.ndarray, codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
@@ -381,17 +526,26 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int | N
     if not len(index.centroids):
         return queries.sparkSession.createDataFrame([], "query_id long, rank long, doc_id long, score double")
     held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    probes = _probes(held, index.centroids, min(nprobe or index.nprobe, len(index.centroids)))
+    nprobe = min(nprobe or index.nprobe, len(index.centroids))
     shortlist = index.shortlist if shortlist is None else shortlist
+    most, n = max(k, shortlist), held.count()
+    cells = index.cells.select("cell", "ids", "codes" if coded else "vectors")
+    # few queries read the folders of their cells only
+    many = n * nprobe * 8 * (1 + index.centroids.shape[1]) > most_bytes
+    if coded and shortlist and (many or n * most > MOST_SHORTLISTED):
+        return ranked(_shortlisted(index, held, k, nprobe, skip_self, most, most_bytes), k)
+    if many:
+        met = _asked(cells, held, index.centroids, nprobe, most_bytes)
+        return ranked(met.mapInArrow(_best_met(k, skip_self, index.codebooks if coded else None), "query_id long, doc_id long, score double"), k)
     kinds = "cell int, query_id long, doc_id long, score double"
+    met = _met(cells, _probes(held, index.centroids, nprobe))
     if not coded:
-        return ranked(_met(index.cells.select("cell", "ids", "vectors"), probes, most_bytes).mapInArrow(_best(k, skip_self, None), kinds), k)
-    most = max(k, shortlist)
-    scores = _met(index.cells.select("cell", "ids", "codes"), probes, most_bytes).mapInArrow(_best(most, skip_self, index.codebooks), kinds)
+        return ranked(met.mapInArrow(_best(k, skip_self, None), kinds), k)
+    scores = met.mapInArrow(_best(most, skip_self, index.codebooks), kinds)
     if not shortlist:
         return ranked(scores, k)
     best = ranked(scores.select("query_id", F.struct("doc_id", "cell").alias("doc_id"), "score"), most)
     asked = held.mapInArrow(_unit_bytes, "query_id long, asked binary")
     pairs = best.select("query_id", "doc_id.doc_id", "doc_id.cell").join(asked, "query_id")
     wanted = _pack_cells(pairs.select("cell", F.col("query_id").alias("asked_ids"), F.col("doc_id").alias("doc_ids"), "asked"))
-    return ranked(_met(index.cells.select("cell", "ids", "vectors"), wanted, most_bytes).mapInArrow(_exact, "query_id long, doc_id long, score double"), k)
+    return ranked(_met(index.cells.select("cell", "ids", "vectors"), wanted).mapInArrow(_exact, "query_id long, doc_id long, score double"), k)
