@@ -2,15 +2,17 @@
 
 A text's shingles are its substrings of ``k`` characters.  A shingle's hash is a weighted sum of its code
 points modulo a prime, and a permutation is a linear function of that, so everything is arithmetic that
-Spark compiles and any SQL engine can repeat.  All minima of a text are taken in one aggregation, whose
-partial sums stay in the task that reads the text.
+any SQL engine can repeat.  The task that reads a text takes all its minima, by arrays of shingles; no row
+is made of a shingle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from quillspark.sources.records import cut
 
 #: The prime 2**31 - 1: products of two remainders fit 63 bits.
 PRIME = (1 << 31) - 1
+#: Shingles whose minima are taken at once: they and all permutations of them fit a core's cache.
+SLICE = 512
+#: Factors of the 64-bit hashes of characters.
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket that one task pairs with the others at most; larger buckets are parted by salts.
 CROWD = 500
 
@@ -38,9 +44,97 @@ class Permutations:
         return tuple(r.integers(1, PRIME, m).tolist() for m in (self.k, self.n, self.n))
 
 
-def _codes(text: Column) -> Column:
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """Texts of a column; bytes that are no UTF-8 become U+FFFD."""
+    return (None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist())
+
+
+def _codes(text: str) -> np.ndarray:
     """The code points of a text."""
-    return F.transform(F.split(text, ""), F.ascii)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _sums(text: str, weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of the code points of each shingle, modulo 2**64; empty for a shorter text."""
+    c, n = _codes(text), len(text) - len(weights) + 1
+    return sum((c[j : j + n] * w for j, w in enumerate(weights)), np.zeros(n, np.uint64)) if n > 0 else np.empty(0, np.uint64)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes."""
+    x = _sums(text or "", _ODD[:k])
+    x ^= x >> np.uint64(32)
+    return np.unique(x * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _minima(permutations: Permutations):
+    weights, factors, shifts = (np.array(x, np.uint64) for x in permutations.numbers())
+    factors, shifts, prime, bits = factors[:, None], shifts[:, None], np.uint64(PRIME), np.uint64(31)
+
+    def signature(text: str) -> np.ndarray | None:
+        h = _sums(text, weights) % prime
+        best = None
+        for i in range(0, len(h), SLICE):
+            x = h[i : i + SLICE] * factors
+            x += shifts
+            # the remainder of a number below 2**62: 2**31 is 1 modulo the prime, and what is below it wraps around
+            y = x >> bits
+            x &= prime
+            x += y
+            np.subtract(x, prime, out=y)
+            np.minimum(x, y, out=x)
+            m = x.min(1)
+            best = m if best is None else np.minimum(best, m)
+        return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, m) for i, m in ((i, signature(t)) for i, t in enumerate(_texts(batch.column(1))) if t is not None) if m is not None]
+            values = pa.array(np.concatenate([m for _, m in found]).astype(np.int64) if found else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * permutations.n), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), lists], names=[batch.schema.names[0], "signature"])
+
+    return run
+
+
+def _counted(k: int, exact: bool):
+    """The batch with the number of distinct shingles, of the substrings themselves or of their 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = (lambda t: len({t[i : i + k] for i in range(len(t) - k + 1)})) if exact else (lambda t: len(shingle_set(t, k)))
+            n = pa.array([count(t or "") for t in _texts(batch.column("clean"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, "n_shingles"])
+
+    return run
+
+
+def shingle_counts(texts: DataFrame, k: int = 8, exact: bool = True) -> DataFrame:
+    """``texts`` (any columns, clean) with n_shingles: how many distinct substrings of ``k`` characters each has."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    return texts.mapInArrow(_counted(k, exact), f"{kinds}, n_shingles long")
+
+
+def _overlaps(k: int):
+    """The columns before clean_a, clean_b of pairs of texts, and common, total: sizes of their shingle sets' intersection and union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, total = [], []
+            for a, b in zip(_texts(batch.column("clean_a")), _texts(batch.column("clean_b"))):
+                x, y = shingle_set(a, k), shingle_set(b, k)
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                total.append(len(x) + len(y) - common[-1])
+            own = [i for i, n in enumerate(batch.schema.names) if n not in ("clean_a", "clean_b")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=[*(batch.schema.names[i] for i in own), "common", "total"])
+
+    return run
+
+
+def overlaps(pairs: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (any columns, clean_a, clean_b) with common, total in place of the texts."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in ("clean_a", "clean_b"))
+    return pairs.mapInArrow(_overlaps(k), f"{kinds}, common long, total long")
 
 
 def text_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,14 +145,10 @@ def text_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def signatures(texts: DataFrame, key: str, permutations: Permutations = Permutations()) -> DataFrame:
     """key, signature (an array of minima) of texts (key, clean) that have a shingle; equal keys' texts are one."""
-    weights, factors, shifts = permutations.numbers()
-    k = permutations.k
-    codes = texts.select(key, F.when(F.length("clean") >= k, _codes(F.col("clean"))).alias("codes"))
-    # "outer", as otherwise the plan would compute the codes once more for a filter on empty ones
-    places = codes.select(key, "codes", F.explode_outer(F.when(F.size("codes") >= k, F.sequence(F.lit(0), F.size("codes") - k))).alias("i")).where("i IS NOT NULL")
-    h = sum((F.get("codes", F.col("i") + j).cast("long") * w for j, w in enumerate(weights)), F.lit(0).cast("long")) % PRIME
-    minima = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(zip(factors, shifts))]
-    return places.select(key, h.alias("h")).groupBy(key).agg(*minima).select(key, F.array(*(F.col(f"m{i}") for i in range(permutations.n))).alias("signature"))
+    rows = texts.select(key, F.col("clean").cast("string").alias("clean"))
+    signed = rows.mapInArrow(_minima(permutations), f"`{key}` {rows.schema[key].dataType.simpleString()}, signature array<long>")
+    minima = [F.min(F.get("signature", F.lit(i))).alias(f"m{i}") for i in range(permutations.n)]
+    return signed.groupBy(key).agg(*minima).select(key, F.array(*(F.col(f"m{i}") for i in range(permutations.n))).alias("signature"))
 
 
 def agreement(a: Column, b: Column, n: int) -> Column:
@@ -76,19 +166,18 @@ def _bands(signed: DataFrame, bands: int, n: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, shingles (64-bit hashes of the distinct ones) of the ``nodes``' texts, each once."""
+    """node, clean, n_shingles of the ``nodes``' texts, each once.  Sets are made where they are compared, as they are larger than their texts."""
     own = texts.join(nodes.select(F.col("node").alias("text_hash")), "text_hash", "left_semi").groupBy("text_hash").agg(F.max("clean").alias("clean"))
-    return own.select(F.col("text_hash").alias("node"), F.array_distinct(F.transform(T.shingles(F.col("clean"), k), lambda x: F.xxhash64(x))).alias("shingles"))
+    return shingle_counts(own.select(F.col("text_hash").alias("node"), "clean"), k, exact=False)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs a, b whose shingle sets have a Jaccard similarity of ``percent`` or more."""
-    size = sets.select("node", F.size("shingles").alias("size"))
-    side = lambda t, n: t.select(*(F.col(c).alias(n if c == "node" else f"{c}_{n}") for c in t.columns))
-    near = pairs.join(side(size, "a"), "a").join(side(size, "b"), "b").where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").select("a", "b")
-    both = near.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return cut(both.where(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b"))
+    side = lambda n, *c: sets.select(F.col("node").alias(n), *(F.col(x).alias(f"{x}_{n}") for x in c))
+    near = pairs.join(side("a", "n_shingles"), "a").join(side("b", "n_shingles"), "b")
+    near = near.where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)").select("a", "b")
+    both = near.join(side("b", "clean"), "b").join(side("a", "clean"), "a").select("a", "b", "clean_a", "clean_b")
+    return cut(overlaps(both, k).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
 
 
 def _led(members: DataFrame) -> DataFrame:
@@ -129,8 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 20, permuta
     shared = table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut(table.join(shared, "bucket", "left_semi"))
     sets = cut(_sets(texts, members.select("node").distinct(), permutations.k))
-    first = _similar(_led(members), sets, percent)
-    rest = _similar(_across(members, connected_components(first), crowd), sets, percent)
+    first = _similar(_led(members), sets, percent, permutations.k)
+    rest = _similar(_across(members, connected_components(first), crowd), sets, percent, permutations.k)
     roots = connected_components(first.unionByName(rest))
     held = texts.select("doc_id", "text_hash", (F.length("clean") >= permutations.k).alias("shingled"))
     named = held.where("shingled AND doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
@@ -150,10 +239,8 @@ def compare(docs: DataFrame, pairs: DataFrame, permutations: Permutations = Perm
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = text_hashes(docs, key, text).join(ids, "doc_id", "left_semi")
     signed = signatures(texts, "doc_id", permutations)
-    sets = texts.select("doc_id", F.array_distinct(F.transform(T.shingles(F.col("clean"), permutations.k), lambda x: F.xxhash64(x))).alias("shingles"))
-    held = cut(sets.join(signed, "doc_id"))
-    side = lambda n: held.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s_{n}"), F.col("signature").alias(f"m_{n}"))
+    held = cut(texts.select("doc_id", "clean").join(signed, "doc_id"))
+    side = lambda n: held.select(F.col("doc_id").alias(n), F.col("clean").alias(f"clean_{n}"), F.col("signature").alias(f"m_{n}"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    exact = common / (F.size("s_a") + F.size("s_b") - common)
-    return both.select("a", "b", F.round(exact, 6).alias("jaccard"), F.round(agreement(F.col("m_a"), F.col("m_b"), permutations.n), 6).alias("agreement"))
+    found = overlaps(both.select("a", "b", agreement(F.col("m_a"), F.col("m_b"), permutations.n).alias("agreement"), "clean_a", "clean_b"), permutations.k)
+    return found.select("a", "b", F.round(F.col("common") / F.col("total"), 6).alias("jaccard"), F.round("agreement", 6).alias("agreement"))

@@ -231,7 +231,8 @@ def candidate_histogram(spark, sf_dir):
 
 
 def shingle_counts(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.size(T.shingles(T.clean(F.col("text")), 8)).cast("long").alias("n_shingles"))
+    docs = _documents(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("clean"))
+    return minhash.shingle_counts(docs, 8).select("doc_id", "n_shingles")
 
 
 def minhash_signatures(spark, sf_dir):
@@ -277,8 +278,9 @@ def text_embeddings(spark, sf_dir):
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, term, tf over both fields."""
-    return _index(spark, sf_dir).postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    """doc_id, term, tf over both fields: those of an index, but without building one; only words are shuffled, by document."""
+    words = lexical.indexed_words(_corpus(spark, sf_dir)).repartition("doc_id")
+    return lexical.postings_of_words(words).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def _text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
