@@ -77,13 +77,15 @@ def _minima(permutations: Permutations):
         for i in range(0, len(h), SLICE):
             x = h[i : i + SLICE] * factors
             x += shifts
-            # the remainder of a number below 2**62: 2**31 is 1 modulo the prime, and what is below it wraps around
+            # the remainder of a number below 2**62: 2**31 is 1 modulo the prime, so the sum is below twice the
+            # prime, and what is below the prime wraps around when that is taken off
             y = x >> bits
             x &= prime
             x += y
-            np.subtract(x, prime, out=y)
-            np.minimum(x, y, out=x)
-            m = x.min(1)
+            z = x.astype(np.uint32)
+            m = z.min(1)
+            z -= np.uint32(PRIME)
+            m = np.minimum(m, z.min(1))
             best = m if best is None else np.minimum(best, m)
         return best
 
@@ -221,7 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 20, permuta
     first = _similar(_led(members), sets, percent, permutations.k)
     rest = _similar(_across(members, connected_components(first), crowd), sets, percent, permutations.k)
     roots = connected_components(first.unionByName(rest))
-    held = texts.select("doc_id", "text_hash", (F.length("clean") >= permutations.k).alias("shingled"))
+    held = cut(texts.select("doc_id", "text_hash", (F.length("clean") >= permutations.k).alias("shingled")))
     named = held.where("shingled AND doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     named = cut(named.join(roots, named["text_hash"] == roots["node"], "left").select("text_hash", "least", "n", F.coalesce("root", "text_hash").alias("root")))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
