@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from quillspark.sources.records import cut, report
 
 #: Takes a list of texts and gives a list of vectors.
 Encoder = Callable[[list[str]], list[list[float]]]
+#: Words that a task embeds at once (and the rest of a document), terms whose signs it sums at once, and digests that it keeps.
+MOST_WORDS, MOST_SIGNS, MOST_DIGESTS = 100_000, 1 << 15, 1 << 17
 
 
 def embed(texts: DataFrame, load: Callable[[], Encoder], batch: int = 256) -> DataFrame:
@@ -46,6 +53,73 @@ def embed_terms(terms: DataFrame, dims: int = 64) -> DataFrame:
     return rows.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*(F.col(f"v{j}").cast("float") for j in range(dims))).alias("vector"))
 
 
+def embed_words(words: DataFrame, dims: int = 64) -> DataFrame:
+    """doc_id, vector of words (doc_id, title_words, abstract_words; one row of each id): what ``embed_terms`` makes of their postings.
+
+    Words are stemmed as rows, and those of a row stay together in their task, which sends on one vector for them: no
+    word is shuffled.
+    """
+    if not 0 < dims <= 128:
+        raise ValueError("a digest has signs for 1 to 128 dimensions")
+    fields = F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"{f}_words").alias("words")) for i, f in enumerate(lexical.WEIGHTS)))
+    rows = words.select("doc_id", F.inline(fields)).select("doc_id", "field", F.explode("words").alias("word"))
+    kind = words.schema["doc_id"].dataType.simpleString()
+    return T.with_stems(rows).select("doc_id", "field", "term").mapInArrow(_embedded(dims), f"doc_id {kind}, vector array<float>")
+
+
+def _embedded(dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, digest = [], 0, lru_cache(MOST_DIGESTS)(lambda term: hashlib.md5(term).digest())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= MOST_WORDS:
+                first = np.flatnonzero(_begins(batch.column(0)))
+                if len(held) > 1 and held[-2].column(0)[-1] == batch.column(0)[0]:
+                    first = first[1:]  # the batch goes on with a document
+                if len(first) and n - batch.num_rows + first[-1]:
+                    yield _vectors([*held[:-1], batch.slice(0, first[-1])], dims, digest)
+                    held = [batch.slice(first[-1])]
+                    n = held[0].num_rows
+        if held:
+            yield _vectors(held, dims, digest)
+
+    return run
+
+
+def _begins(x: pa.Array) -> np.ndarray:
+    """Where a value isn't the one before it."""
+    return np.concatenate(([True], pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)))
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def _vectors(batches: list[pa.RecordBatch], dims: int, digest: Callable[[bytes], bytes]) -> pa.RecordBatch:
+    """doc_id, vector of whole documents' rows doc_id, field, term."""
+    ids, field, term = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    begin = _begins(ids)
+    term = term.dictionary_encode()
+    digests = np.frombuffer(b"".join(map(digest, term.dictionary.cast(pa.binary()).to_pylist())), ">u4").astype("<u4")
+    bits = np.unpackbits(digests.view(np.uint8).reshape(-1, 16), axis=1, count=dims, bitorder="little")
+    known, fields = len(bits), len(lexical.WEIGHTS)
+    keys = ((begin.cumsum() - 1) * known + term.indices.to_numpy()) * fields + field.to_numpy()
+    keys, tf = np.unique(keys, return_counts=True)
+    first = _changes(keys // fields)
+    doc, code = np.divmod(keys[first] // fields, known)
+    weight = np.frexp(np.add.reduceat(np.minimum(tf, lexical.MOST_TF), first))[1]  # binary digits
+    sums = np.zeros((int(begin.sum()), dims), np.int64)
+    for i in range(0, len(doc), MOST_SIGNS):
+        d, c, w = (x[i : i + MOST_SIGNS] for x in (doc, code, weight))
+        at = _changes(d)
+        sums[d[at]] += 2 * np.add.reduceat(bits[c] * w[:, None], at) - np.add.reduceat(w, at)[:, None]
+    offsets = np.arange(len(sums) + 1, dtype=np.int32) * dims
+    return pa.RecordBatch.from_arrays([ids.filter(pa.array(begin)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel().astype(np.float32)))], names=["doc_id", "vector"])
+
+
 def embed_texts(texts: DataFrame, stop_words: Sequence[str] = DEFAULT, dims: int = 64) -> DataFrame:
     """doc_id, vector of texts (doc_id, text) by ``embed_terms``; texts without terms have none."""
     rows = texts.select("doc_id", F.explode(T.words(F.col("text"), stop_words)).alias("word"))
@@ -81,4 +155,4 @@ def hybrid_search(semantic: DataFrame, words: DataFrame, names: DataFrame, k: in
     return fused.join(names, "doc_id", "left").select("query_id", "rank", "doc_id", "score", F.coalesce("title", F.lit("Title not found.")).alias("title"))
 
 
-__all__ = ["embed", "embed_terms", "embed_texts", "hybrid_search", "lexical_search", "report", "semantic_search", "semantic_text_search"]
+__all__ = ["embed", "embed_terms", "embed_texts", "embed_words", "hybrid_search", "lexical_search", "report", "semantic_search", "semantic_text_search"]

@@ -273,18 +273,17 @@ def ivf_pq_search(spark, sf_dir):
 
 def text_embeddings(spark, sf_dir):
     """Vectors of the documents' own terms, as text."""
-    v = search.embed_terms(_terms(spark, sf_dir), DIMS)
-    return v.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
+    return _embedded(spark, sf_dir).select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), ",").alias("vector"))
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, term, tf over both fields: those of an index, but without building one; only words are shuffled, by document."""
-    words = lexical.indexed_words(_corpus(spark, sf_dir)).repartition("doc_id")
-    return lexical.postings_of_words(words).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the terms of an index over both fields, but without building one; texts are shuffled once, so that all tasks have some."""
+    docs = records.corpus(_documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id"))
+    return search.embed_words(lexical.indexed_words(docs), DIMS)
 
 
 def _text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _once(spark, f"{sf_dir}/documents.parquet", "vectors", lambda path: search.embed_terms(_terms(spark, sf_dir), DIMS).write.parquet(path))
+    path = _once(spark, f"{sf_dir}/documents.parquet", "vectors", lambda path: _embedded(spark, sf_dir).write.parquet(path))
     return spark.read.parquet(path)
 
 

@@ -84,9 +84,9 @@ def write_tokenized(tokenized: DataFrame, path: str) -> None:
 
 def corpus(documents: DataFrame, title_words: int = 8) -> DataFrame:
     """id, title, abstract of the documents table: the first words of the clean text, and the rest."""
-    parts = F.split(T.clean(F.col("text")), " ")
+    parts = F.split(T.clean(F.col("text")), " ", title_words + 1)  # the last part is the rest as a whole
     cut = documents.select(F.col("doc_id").alias("id"), parts.alias("p"))
-    return cut.select("id", F.array_join(F.slice("p", 1, title_words), " ").alias("title"), F.array_join(F.slice("p", title_words + 1, F.greatest(F.size("p"), F.lit(1))), " ").alias("abstract"))
+    return cut.select("id", F.array_join(F.slice("p", 1, title_words), " ").alias("title"), F.coalesce(F.get("p", F.lit(title_words)), F.lit("")).alias("abstract"))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
