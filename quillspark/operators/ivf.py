@@ -31,6 +31,8 @@ MOST_SHORTLISTED, BINS = 100_000, 2048
 BLOCK = 2048
 #: Vectors of a chunk for each cell, and chunks at most.
 CHUNK, MOST_CHUNKS = 64, 16
+#: Queries about whose neighbours nprobe and shortlists are chosen.
+MOST_TUNING = 256
 #: Cells by default at most: the driver holds their centres.
 MOST_CELLS = 16_384
 
@@ -197,7 +199,7 @@ def _pack_cells(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "cell").sortWithinPartitions("cell").mapInArrow(_by_cell, kinds)
 
 
-def build_ivf(vectors: DataFrame, nlist: int | None = None, *, m: int | None = None, nbits: int = 8, rounds: int = 16, tuning: DataFrame | None = None, k: int = 10, recall: float = 0.95, most_tuning: int = 256) -> IvfIndex:
+def build_ivf(vectors: DataFrame, nlist: int | None = None, *, m: int | None = None, nbits: int = 8, rounds: int = 16, tuning: DataFrame | None = None, k: int = 10, recall: float = 0.95, most_tuning: int = MOST_TUNING) -> IvfIndex:
     """An index of vectors (doc_id, vector): ``nlist`` cells (by default the root of their number) and,
     with ``m``, codes of m bytes.
 
@@ -234,8 +236,13 @@ def _train_apart(packed: DataFrame, n: int, start: np.ndarray, nlist: int, m: in
 def _some(queries: DataFrame, most: int) -> DataFrame:
     """At most about ``most`` queries with a vector, by a hash of their id."""
     held = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    share = min(1.0, most / max(held.count(), 1))
-    return held.where(F.shiftrightunsigned(F.xxhash64("query_id"), 2) < int(share * (1 << 62))) if share < 1 else held
+    return some(held, "query_id", most)
+
+
+def some(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most about ``most`` rows, by a hash of a key."""
+    share = min(1.0, most / max(rows.count(), 1))
+    return rows.where(F.shiftrightunsigned(F.xxhash64(key), 2) < int(share * (1 << 62))) if share < 1 else rows
 
 
 def _counted_above(codebooks: np.ndarray, asked: dict[int, tuple[np.ndarray, np.ndarray]]):

@@ -298,8 +298,9 @@ def semantic_text_ivf(spark, sf_dir):
 
 
 def _text_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that are not asked for, as vectors."""
-    titles = _corpus(spark, sf_dir).where("id % 100 <> 0").select(F.col("id").alias("doc_id"), F.col("title").alias("text"))
+    """Titles that are not asked for, as vectors; the few that the index is tuned on are chosen before they are cleaned and embedded."""
+    docs = _documents(spark, sf_dir).where("doc_id % 100 <> 0").where(F.col("text").rlike(r"[\p{L}\p{N}_]"))
+    titles = records.corpus(ivf.some(docs, "doc_id", ivf.MOST_TUNING)).select(F.col("id").alias("doc_id"), F.col("title").alias("text"))
     return search.embed_texts(titles, dims=DIMS).withColumnRenamed("doc_id", "query_id")
 
 

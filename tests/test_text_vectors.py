@@ -1,4 +1,4 @@
-"""Vectors of texts: as of postings, and without a shuffle of words."""
+"""Vectors of texts: as of postings, without a shuffle of words, and no more of them than an index is tuned on."""
 
 import re
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import lexical, search
+from quillspark.operators import ivf, lexical, search
 from quillspark.plans import queries
 from quillspark.sources import records
 
@@ -51,6 +51,12 @@ def test_no_words_are_shuffled(spark, monkeypatch):
     assert len(shuffled) == 1 and "hashpartitioning(doc_id" in shuffled[0] and "Aggregate" not in plan
 
 
+def test_only_the_titles_that_an_index_is_tuned_on_are_embedded(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "MOST_TUNING", 20)
+    assert 0 < queries._text_tuning(spark, DATA).count() < 60  # of 198
+    assert queries._text_tuning(spark, DATA).where("query_id % 100 = 0").count() == 0
+
+
 def test_white_space_is_cleaned_as_by_the_whole_pattern(spark):
     white = [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
     texts = [a + "x" + b + c + "é" + a + b + "~!" + c for a in white for b in white for c in (" ", "\n", "\u3000", "")] + ["\u180e \u200b\u200b  \x1b", None]
