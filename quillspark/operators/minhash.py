@@ -8,12 +8,13 @@ is made of a shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -28,6 +29,8 @@ SLICE = 512
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket that one task pairs with the others at most; larger buckets are parted by salts.
 CROWD = 500
+#: Digests of texts whose minima a task keeps.
+MOST_HELD = 20_000
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(x * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _minima(permutations: Permutations):
+def _signer(permutations: Permutations):
+    """Makes a text's minima, or None for one without shingles."""
     weights, factors, shifts = (np.array(x, np.uint64) for x in permutations.numbers())
     factors, shifts, prime, bits = factors[:, None], shifts[:, None], np.uint64(PRIME), np.uint64(31)
 
@@ -89,6 +93,12 @@ def _minima(permutations: Permutations):
             best = m if best is None else np.minimum(best, m)
         return best
 
+    return signature
+
+
+def _minima(permutations: Permutations):
+    signature = _signer(permutations)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, m) for i, m in ((i, signature(t)) for i, t in enumerate(_texts(batch.column(1))) if t is not None) if m is not None]
@@ -117,18 +127,24 @@ def shingle_counts(texts: DataFrame, k: int = 8, exact: bool = True) -> DataFram
     return texts.mapInArrow(_counted(k, exact), f"{kinds}, n_shingles long")
 
 
+def _sizes(left: Iterable[str | None], right: Iterable[str | None], k: int) -> tuple[pa.Array, pa.Array]:
+    """Sizes of the intersections and unions of the texts' shingle sets."""
+    common, total = [], []
+    for a, b in zip(left, right):
+        x, y = shingle_set(a, k), shingle_set(b, k)
+        common.append(len(np.intersect1d(x, y, assume_unique=True)))
+        total.append(len(x) + len(y) - common[-1])
+    return pa.array(common, pa.int64()), pa.array(total, pa.int64())
+
+
 def _overlaps(k: int):
     """The columns before clean_a, clean_b of pairs of texts, and common, total: sizes of their shingle sets' intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, total = [], []
-            for a, b in zip(_texts(batch.column("clean_a")), _texts(batch.column("clean_b"))):
-                x, y = shingle_set(a, k), shingle_set(b, k)
-                common.append(len(np.intersect1d(x, y, assume_unique=True)))
-                total.append(len(x) + len(y) - common[-1])
+            common, total = _sizes(_texts(batch.column("clean_a")), _texts(batch.column("clean_b")), k)
             own = [i for i, n in enumerate(batch.schema.names) if n not in ("clean_a", "clean_b")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=[*(batch.schema.names[i] for i in own), "common", "total"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), common, total], names=[*(batch.schema.names[i] for i in own), "common", "total"])
 
     return run
 
@@ -139,6 +155,55 @@ def overlaps(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(_overlaps(k), f"{kinds}, common long, total long")
 
 
+def _signed_texts(permutations: Permutations):
+    """doc_id, text_hash, shingled, minima of batches doc_id, text: raw texts are cleaned, hashed and signed in their task.
+
+    Of equal texts that follow in a task only one is signed.
+    """
+    signature = _signer(permutations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, bytes | None] = {}
+        for batch in batches:
+            hashes, minima = [], []
+            for text in _texts(batch.column(1)):
+                clean, digest = _cleaned(text)
+                if digest not in held:
+                    if len(held) >= MOST_HELD:
+                        held.clear()
+                    m = signature(clean)
+                    held[digest] = None if m is None else m.astype("<u4").tobytes()
+                hashes.append(_hash(digest))
+                minima.append(held[digest])
+            columns = [pa.array(hashes, pa.int64()), pa.array([m is not None for m in minima]), pa.array(minima, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "text_hash", "shingled", "minima"])
+
+    return run
+
+
+def _cleaned(text: str | None) -> tuple[str, bytes]:
+    """A text as ``T.clean`` gives it, and its digest."""
+    clean = " ".join((text or "").split())
+    return clean, hashlib.blake2b(clean.encode(), digest_size=16).digest()
+
+
+def _hash(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text_hash, clean of batches doc_id, text."""
+    for batch in batches:
+        found = [_cleaned(t) for t in _texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([pa.array([_hash(d) for _, d in found], pa.int64()), pa.array([t for t, _ in found], pa.string())], names=["text_hash", "clean"])
+
+
+def signed_texts(docs: DataFrame, permutations: Permutations = Permutations(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash, shingled, minima (4 bytes each; null for texts without shingles) of every row, in one pass over the texts."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_signed_texts(permutations), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, shingled boolean, minima binary")
+
+
 def text_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, clean: equal clean texts have one hash, under which all their rows count."""
     clean = T.clean(F.col(text).cast("string"))
@@ -153,20 +218,25 @@ def signatures(texts: DataFrame, key: str, permutations: Permutations = Permutat
     return signed.groupBy(key).agg(*minima).select(key, F.array(*(F.col(f"m{i}") for i in range(permutations.n))).alias("signature"))
 
 
-def agreement(a: Column, b: Column, n: int) -> Column:
-    """The share of equal minima, which estimates the Jaccard similarity."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / n
-
-
 def _bands(signed: DataFrame, bands: int, n: int) -> DataFrame:
     """bucket, node: in which bucket of each band a signature lies."""
     if n % bands:
         raise ValueError(f"{n} minima can't be cut into {bands} equal bands")
     r = n // bands
-    keys = F.array(*(F.xxhash64(F.lit(i), *(F.get("signature", F.lit(i * r + j)) for j in range(r))) for i in range(bands)))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("minima", 4 * i * r + 1, 4 * r)) for i in range(bands)))
     return signed.select(F.explode(keys).alias("bucket"), F.col("text_hash").alias("node"))
 
 
+def _owners(held: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """text_hash, clean of a row of each of the ``nodes``: only their rows' texts are shuffled, and the rows are found by their ids.
+
+    A repeated id may bring other rows' texts along, which are left out by their hash.
+    """
+    own = cut(held.join(nodes.select(F.col("node").alias("text_hash")), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    return rows.mapInArrow(_hashed, "text_hash long, clean string").join(own.select("text_hash"), "text_hash", "left_semi")
+
+
 def _sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, clean, n_shingles of the ``nodes``' texts, each once.  Sets are made where they are compared, as they are larger than their texts."""
     own = texts.join(nodes.select(F.col("node").alias("text_hash")), "text_hash", "left_semi").groupBy("text_hash").agg(F.max("clean").alias("clean"))
@@ -214,16 +284,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 20, permuta
     Texts with fewer than k characters have no shingles and are classes of their own, as are rows
     with a null id, whose class is null.  Rows that repeat an id stay, each with its own text's class.
     """
-    texts = text_hashes(docs, key, text)
-    signed = signatures(texts.where("doc_id IS NOT NULL"), "text_hash", permutations)
+    # texts are read twice: here, and those that share a band with another to be compared
+    held = cut(signed_texts(docs, permutations, key, text))
+    return _classes(held, docs, percent, bands, permutations, key, text, crowd)
+
+
+def _classes(held: DataFrame, docs: DataFrame, percent: int, bands: int, permutations: Permutations, key: str, text: str, crowd: int) -> DataFrame:
+    """``near_duplicates`` of rows that are signed."""
+    signed = held.where("doc_id IS NOT NULL AND shingled").groupBy("text_hash").agg(F.first("minima").alias("minima"))
     table = cut(_bands(signed, bands, permutations.n))
     shared = table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut(table.join(shared, "bucket", "left_semi"))
-    sets = cut(_sets(texts, members.select("node").distinct(), permutations.k))
+    nodes = members.select("node").distinct()
+    sets = cut(_sets(_owners(held.where("doc_id IS NOT NULL"), nodes, docs, key, text), nodes, permutations.k))
     first = _similar(_led(members), sets, percent, permutations.k)
     rest = _similar(_across(members, connected_components(first), crowd), sets, percent, permutations.k)
     roots = connected_components(first.unionByName(rest))
-    held = cut(texts.select("doc_id", "text_hash", (F.length("clean") >= permutations.k).alias("shingled")))
     named = held.where("shingled AND doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     named = cut(named.join(roots, named["text_hash"] == roots["node"], "left").select("text_hash", "least", "n", F.coalesce("root", "text_hash").alias("root")))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
@@ -233,16 +309,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = 20, permuta
     return out.select("doc_id", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("n_class")).otherwise(F.lit(1)).cast("long").alias("n_class"))
 
 
-def compare(docs: DataFrame, pairs: DataFrame, permutations: Permutations = Permutations(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def compare(docs: DataFrame, pairs: DataFrame, permutations: Permutations = Permutations(), key: str = "doc_id", text: str = "text", held: DataFrame | None = None) -> DataFrame:
     """a, b, jaccard, agreement of pairs a, b of doc_ids: exact similarity, and its estimate by signatures.
 
-    Pairs of which a text is missing or has no shingle are left out.
+    Pairs of which a text is missing or has no shingle are left out.  ``held`` are the rows as ``signed_texts`` has them, if
+    they are there already.  Only texts of the pairs are shuffled; a repeated id has the least minima of its texts.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = text_hashes(docs, key, text).join(ids, "doc_id", "left_semi")
-    signed = signatures(texts, "doc_id", permutations)
-    held = cut(texts.select("doc_id", "clean").join(signed, "doc_id"))
-    side = lambda n: held.select(F.col("doc_id").alias(n), F.col("clean").alias(f"clean_{n}"), F.col("signature").alias(f"m_{n}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    found = overlaps(both.select("a", "b", agreement(F.col("m_a"), F.col("m_b"), permutations.n).alias("agreement"), "clean_a", "clean_b"), permutations.k)
-    return found.select("a", "b", F.round(F.col("common") / F.col("total"), 6).alias("jaccard"), F.round("agreement", 6).alias("agreement"))
+    pairs = cut(pairs.select("a", "b").distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    signed = signed_texts(own, permutations) if held is None else held.join(ids, "doc_id", "left_semi")
+    minima = signed.where("shingled").groupBy("doc_id").agg(F.collect_list("minima").alias("minima"))  # one of each row with the id
+    found = cut(own.join(minima, "doc_id"))
+    side = lambda n: found.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"), F.col("minima").alias(f"m_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    rows = both.mapInArrow(_compared(permutations.k), f"{kinds}, common long, total long, agreement double")
+    return rows.select("a", "b", F.round(F.col("common") / F.col("total"), 6).alias("jaccard"), F.round("agreement", 6).alias("agreement"))
+
+
+def _compared(k: int):
+    """a, b, common, total, agreement of batches with a, b and the texts and minima of both."""
+    least = lambda lists: np.min([np.frombuffer(m, "<u4") for m in lists], 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [[_cleaned(t)[0] for t in _texts(batch.column(f"text_{n}"))] for n in "ab"]
+            common, total = _sizes(clean[0], clean[1], k)
+            agreed = [float(np.count_nonzero((a := least(x)) == least(y))) / len(a) for x, y in zip(batch.column("m_a").to_pylist(), batch.column("m_b").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), common, total, pa.array(agreed, pa.float64())], names=["a", "b", "common", "total", "agreement"])
+
+    return run
+
+
+def agreement_in_classes(docs: DataFrame, percent: int = 75, bands: int = 20, permutations: Permutations = Permutations(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``compare`` of each near duplicate with the first document of its class; texts are signed once for both."""
+    held = cut(signed_texts(docs, permutations, key, text))
+    classes = _classes(held, docs, percent, bands, permutations, key, text, CROWD).where("doc_id <> class_id")
+    return compare(docs, classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")), permutations, key, text, held)

@@ -248,8 +248,7 @@ def near_duplicate_classes(spark, sf_dir):
 
 def minhash_agreement(spark, sf_dir):
     """Each near duplicate with the first document of its class: exact similarity, and the signatures' estimate."""
-    classes = near_duplicate_classes(spark, sf_dir).where("doc_id <> class_id")
-    return minhash.compare(_documents(spark, sf_dir), classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
+    return minhash.agreement_in_classes(_documents(spark, sf_dir))
 
 
 def vocabulary(spark, sf_dir):
