@@ -85,7 +85,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).select(F.col("id").alias("doc_id"), "title")
+    return records.parted(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), T.clean(F.col("title")).alias("title"))
 
 
 def sanitize(spark, sf_dir):
